@@ -113,21 +113,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered for the words seen so far, up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
+#: Words longer than this (bytes) get their hash from a library; shorter ones from a polynomial.
+_SHORT = 256
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd base modulo 2**64."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 1 << 18), base, np.uint64)
+        steps[0] = 1
+        have = _POWERS[base] = np.multiply.accumulate(steps)
+    return have[:n]
+
+
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes that aren't ASCII white space), and the number in each text."""
+    joined = b" " + b" ".join(texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    white = _WHITE[data]
+    first = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+    last = np.flatnonzero(~white[:-1] & white[1:]) + 1
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * powers(_BASE, len(data)), out=total[1:])
+    length = (last - first).astype(np.uint64)
+    found = mix((total[last] - total[first]) * powers(inverse(_BASE), len(data) + 1)[first] + length)
+    for i in np.flatnonzero(length > _SHORT).tolist():
         from xxhash import xxh64_intdigest
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        found[i] = xxh64_intdigest(joined[first[i] : last[i]])
+    edges = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return found, np.diff(np.searchsorted(first, edges))
 
 
 def columns_of(*fields: tuple[str, T.DataType]) -> T.StructType:

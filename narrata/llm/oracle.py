@@ -44,3 +44,20 @@ FROM g
 """
 
 SQL = {"op4_decontamination": OP4, "op8_chat_format": OP8}
+
+OP2 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN rep USING (s)),
+ws AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS n
+  FROM ws ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+SQL["op2_substring_dedup"] = OP2
