@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe_codec, chat, decontam, html_text, langid, neardup, substring, tokencount
+from narrata.llm import bpe_codec, chat, decontam, html_text, langid, neardup, quality, substring, tokencount
 from narrata.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hash")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
