@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe_codec, chat, decontam, html_text, langid, neardup, quality, substring, tokencount
+from narrata.llm import audio, bpe_codec, chat, decontam, html_text, langid, neardup, quality, substring, tokencount
 from narrata.llm.common import table
 
 
@@ -61,6 +61,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors sung and fingerprinted; those whose id 100 divides are aligned with all."""
+    prints = audio.fingerprints(audio.render(table(spark, sf_dir, "embeddings")))
+    return audio.align(prints, F.col("rec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
