@@ -1,0 +1 @@
+"""Narrative-media analytics on Spark: a versioned star schema, layered views, and corpus operators."""
