@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.plans import ask, lessons, views
+from narrata.plans import ask, corpus, lessons, views
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: (lambda spark, d, n=n: views.Views(spark, d)[n]) for n in views.all_views()}
     out |= {n: (lambda spark, d, a=a: ask.plan(a, views.Views(spark, d))) for n, a in lessons.LESSONS.items()}
-    return out
+    return out | corpus.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: views.with_ctes(f"SELECT * FROM {{{n}}}") for n in views.all_views()}
     out |= {n: views.with_ctes(ask.sql(a)) for n, a in lessons.LESSONS.items()}
-    return out
+    return out | corpus.oracle_sql()
