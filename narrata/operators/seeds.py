@@ -17,7 +17,7 @@ def unknown_columns(rows: DataFrame, target: DataFrame) -> list[str]:
 
 def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that more than one current row has."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").withColumnRenamed("_copies", "copies")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

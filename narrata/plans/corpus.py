@@ -243,7 +243,7 @@ def content_hashes(w):
     return e.select("event_id", text.content_hash(F.lit("http"), F.lit("sys"), F.col("event_type"), F.col("user_id").cast("string"), none, F.col("props")).alias("content_sha256"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT c_mktsegment, count(*) AS copies FROM customer GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(w):
     return seeds.duplicates(w["customer"], "c_mktsegment")
 

@@ -8,9 +8,12 @@ from pyspark.sql import types as T
 
 from narrata.functions.text import safe_name
 
-EXCHANGE = T.StructType.fromDDL(
-    "exchange_id string, exchange_type string, source_system string, entity_type string, natural_key string, observed_at_utc timestamp, content_sha256 string, request string,"
-    " response string, schema_version int, tags array<string>"
+_TEXT = "exchange_id exchange_type source_system entity_type natural_key".split()
+EXCHANGE = T.StructType(
+    [T.StructField(c, T.StringType()) for c in _TEXT]
+    + [T.StructField("observed_at_utc", T.TimestampType())]
+    + [T.StructField(c, T.StringType()) for c in ("content_sha256", "request", "response")]
+    + [T.StructField("schema_version", T.IntegerType()), T.StructField("tags", T.ArrayType(T.StringType()))]
 )
 
 
@@ -24,7 +27,8 @@ def write_snapshot(records: DataFrame, path: str, per_file: int = 1000) -> None:
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = EXCHANGE) -> tuple[DataFrame, DataFrame]:
     """The records, and the lines that are not records."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where("length(trim(value)) > 0")
+    rows = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
 
 
@@ -37,7 +41,8 @@ def write_lake(records: DataFrame, path: str) -> None:
 
 def read_seeds(spark: SparkSession, path: str, row_schema: T.StructType) -> DataFrame:
     """The rows of seed files with their target table: one JSON object a file, rows in an array."""
-    target = T.StructType.fromDDL("schema string, table string, naturalKey array<string>, loadBehavior string")
+    text = T.StringType()
+    target = T.StructType([T.StructField("schema", text), T.StructField("table", text), T.StructField("naturalKey", T.ArrayType(text)), T.StructField("loadBehavior", text)])
     schema = T.StructType([T.StructField("seedVersion", T.StringType()), T.StructField("target", target), T.StructField("rows", T.ArrayType(row_schema))])
     files = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     return files.select("seedVersion", "target", F.explode("rows").alias("row")).select("seedVersion", F.concat_ws(".", "target.schema", "target.table").alias("target_table"), "row.*")
