@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,8 +19,8 @@ BATCH_ROWS = 512
 #: Characters of text that one step of a vectorised operator takes at once.
 STEP_CHARS = 1 << 20
 #: Rows and bytes up to which a measured side of a join is broadcast; beyond them the join shuffles.
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 48 << 20
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -47,19 +50,38 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the shared checkpoint folder."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame, computed once, written to the shared checkpoint folder and read again.
+
+    That cuts the lineage like checkpoint(), but the plan starts afresh with the sizes of the files, so joins
+    in a loop are planned by what there is. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    ready(spark)
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget() -> None:
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):  # the context may have ended
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, row_bytes: str = "0") -> bool:
-    """Whether a checkpointed frame is within the broadcast bounds; row_bytes is SQL for a row's variable bytes."""
+    """Whether a kept frame is within the broadcast bounds; row_bytes is SQL for a row's variable bytes."""
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.expr(row_bytes).cast("long") + 32)).first()
     return (n or 0) <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def measured(df: DataFrame, row_bytes: str = "0") -> DataFrame:
-    """The checkpointed frame with a broadcast hint if its measured size allows one."""
+    """The kept frame with a broadcast hint if its measured size allows one."""
     return F.broadcast(df) if small(df, row_bytes) else df
 
 

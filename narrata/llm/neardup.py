@@ -4,9 +4,10 @@
    one class, named by its smallest doc_id, and go on as one.
 2. Bands of the signature make buckets. Every member of a bucket is paired with the bucket's smallest
    member; the pairs whose signatures agree somewhat make families. A bucket with members that agree too
-   little goes on with those, and with the members in a grey zone, until none is left. Signatures differ in
-   a number of places that obeys the triangle inequality, and the grey zone is wide enough for it: two
-   members that the pruning of step 3 would let pass end up in one family, or go on together.
+   little goes on with those, and with the members in a grey zone. Signatures differ in a number of places
+   that obeys the triangle inequality, and the grey zone is wide enough for it: two members that the pruning
+   of step 3 would let pass end up in one family, or go on together. What goes on after PEELS rounds makes
+   families as it is, bucket by bucket.
 3. In each family, blocks of members are compared with blocks. Signatures are compared batch by batch: after
    each batch a pair goes on only if the posterior probability of a similarity at or above the threshold,
    given the hashes agreed so far, is at least the chosen miss probability. Survivors, most similar first, are
@@ -39,6 +40,8 @@ MISS = 1e-6
 BATCH = 32
 #: Share of agreeing hashes with its bucket's smallest member below which a member goes on with the bucket.
 STAY = 0.62
+#: Rounds in which buckets are parted by agreement.
+PEELS = 2
 #: Members in a block.
 BLOCK = 384
 
@@ -207,10 +210,12 @@ def _families(nodes: DataFrame, percent: int, miss: float) -> DataFrame:
     join = max(0.0, STAY - 1 + least_agreeing(percent / 100, miss)[-1] / HASHES)
     members = nodes.mapInArrow(_bands, _BANDS)
     edges = None
-    while True:
+    for peel in range(PEELS + 1):
         pivots = members.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "pivot")
         paired = kept(members.join(measured(kept(pivots)), "band").where("node <> pivot"))
         pairs = paired.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        if peel == PEELS:
+            return components(edges.unionByName(pairs))
         both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         share = kept(both.select("a", "b", "sa", "sb").mapInArrow(_agreement, _AGREE))
         close = share.where(F.col("share") >= join).select("a", "b")
@@ -219,7 +224,8 @@ def _families(nodes: DataFrame, percent: int, miss: float) -> DataFrame:
         open_ = rest.groupBy("band").agg(F.min("share").alias("least")).where(F.col("least") < join).select("band")
         members = kept(rest.where(F.col("share") < STAY).join(open_, "band", "left_semi").select("band", "node"))
         if members.isEmpty():
-            return components(edges)
+            break
+    return components(edges)
 
 
 _MEMBER = columns_of(("family", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("side", T.IntegerType()), ("node", T.LongType()), ("found", T.BinaryType()))
