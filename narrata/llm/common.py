@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; texts may be long, so batches stay small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Characters of text that one step of a vectorised operator takes at once.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 18
 #: Rows and bytes up to which a measured side of a join is broadcast; beyond them the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
