@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from narrata.llm.common import arrow_schema, columns_of, kept, map_rows, measured, ready
 
 RATE, FRAME, HOP = 4000, 512, 256
-#: Frames that a filter spans at most, and high bits that two frames must share to vote.
-SPAN, VOTE_BITS = 12, 24
+#: Frames that a filter spans at most, and high bits that two frames must share to vote: all of them.
+SPAN, VOTE_BITS = 12, 32
 #: A pair matches with this many votes at one offset, frames of overlap, and bit errors at most.
 VOTES, OVERLAP, ERRORS = 3, 24, 0.20
 #: Log ratio from which a filter's answer is strong.
