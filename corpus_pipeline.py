@@ -19,30 +19,40 @@ from narrata.llm.common import kept, measured, ready, shared_dir, table
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    gone = kept(found.where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct())
-    return docs.join(measured(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.hash("text") == F.col("gone_hash")), "left_anti")
+    gone = measured(kept(found.where("not keep").select("doc_id", "hash").distinct()))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.hash(docs["text"]) == gone["hash"]), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
     found = neardup.near_duplicates(docs)
-    gone = kept(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(measured(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = measured(kept(found.where("not kept").select("doc_id").distinct()))
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated windows; a text that loses nothing stays as it is."""
-    rest = tuple(c for c in docs.columns if c != "text")
-    found = substring.remove_repeats(docs, carry=rest, texts=True)
+    plain, names = _numbered(docs)
+    found = substring.remove_repeats(plain, carry=tuple(c for c in plain.columns if c != "text"), texts=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text"))
-    changed = found.withColumn("n_chars", F.coalesce(F.length(text).cast("long"), "n_chars")) if "n_chars" in rest else found
-    return changed.withColumnRenamed("kept_text", "text").select(*docs.columns)
+    out = {c: F.col("kept_text") if c == "text" else F.col(c) for c in plain.columns}
+    if "n_chars" in names:
+        at = plain.columns[names.index("n_chars")]
+        out[at] = F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col(at))
+    return found.select(*(out[c].alias(n) for c, n in zip(plain.columns, names, strict=True)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
-    return found.where("not contaminated").select(*docs.columns)
+    plain, names = _numbered(docs)
+    found = decontam.find_contamination(plain, table(spark, sf_dir, "benchmark"), carry=tuple(plain.columns))
+    return found.where("not contaminated").select(*(F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)))
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with numbers for names but for doc_id and text, so that nothing an operator adds can clash; and the names."""
+    names = docs.columns
+    return docs.select(*(F.col(n) if n in ("doc_id", "text") else F.col(n).alias(f"_{i}") for i, n in enumerate(names))), names
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
