@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrata.operators.relational import few
+
 
 def html_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, target), one row for each link occurrence of a page's HTML."""
@@ -62,10 +64,10 @@ def match_entities(works: DataFrame, entities: DataFrame, identifiers: DataFrame
     """Works (work_id, title, concepts, identifier) that name a known entity (entity).
 
     An identifier matches exactly, a title by containing an entity, a concept by being one. Identifiers and
-    concepts are semi-joins; the title's test is a nested loop with the entities, which must be few.
+    concepts are semi-joins; the title's test is a nested loop with the entities, meant for few of them.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
-    names = F.broadcast(entities.select(fold(F.col("entity")).alias("entity")).where("entity IS NOT NULL").distinct())
+    names = few(entities.select(fold(F.col("entity")).alias("entity")).where("entity IS NOT NULL").distinct())
     by_title = works.join(names, F.contains(fold(F.col("title")), F.col("entity")), "left_semi").select("work_id")
     spread = works.select("work_id", F.explode("concepts").alias("concept")).select("work_id", fold(F.col("concept")).alias("entity"))
     found = by_title.unionByName(spread.join(names, "entity", "left_semi").select("work_id"))

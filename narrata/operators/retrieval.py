@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text
+from narrata.operators.relational import few
 
 
 def chunk_records(sources: DataFrame, size: int = 2000, overlap: int = 200, most: int = 100, version: str = "1.0") -> DataFrame:
@@ -40,11 +41,11 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """(query_id, chunk_id, score, rank): for each query (query_id, vector) the k best candidates (chunk_id, vector).
 
-    Queries are a stated, small set and are broadcast against all candidates; each task keeps its best k of
-    a query before the shuffle. Scores below the threshold and vectors of another size drop out; equal
+    Queries are a stated set, met by all candidates (broadcast if they are few); each task keeps its best k
+    of a query before the shuffle. Scores below the threshold and vectors of another size drop out; equal
     scores go by chunk_id.
     """
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
+    q = few(queries.select("query_id", F.col("vector").alias("_q")))
     scored = candidates.crossJoin(q).select("query_id", "chunk_id", cosine(F.col("_q"), F.col("vector")).alias("score")).where(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text
-from narrata.operators import evidence, graph, queue, retrieval, seeds, snapshot
+from narrata.operators import evidence, graph, ingest, queue, relational, retrieval, seeds, snapshot
 from narrata.sources.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,6 +433,33 @@ def table_counts(w):
     return out
 
 
+@query("SELECT url, 'https://wiki.example/api.php?action=query&format=json&titles=' || replace(replace(source, ' ', '+'), '/', '%2F') || '&prop=links&pllimit=500' AS request FROM (SELECT 'doc ' || source || '/' || lang AS source, CAST(doc_id AS VARCHAR) AS url FROM documents)")
+def request_addresses(w):
+    name = F.concat(F.lit("doc "), F.col("source"), F.lit("/"), F.col("lang"))
+    return w["documents"].select(F.col("doc_id").cast("string").alias("url"), ingest.wiki_links("https://wiki.example/api.php", name).alias("request"))
+
+
+@query("SELECT role AS artifact_type, count(*) AS n, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, min(sha256(coalesce(text, ''))) AS first_hash FROM conversations GROUP BY 1")
+def artifact_bytes(w):
+    rows = ingest.artifacts(w["conversations"].withColumn("text", F.coalesce("text", F.lit(""))), "text")
+    return rows.groupBy(F.col("role").alias("artifact_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("byte_count").alias("bytes"), F.min("content_sha256").alias("first_hash"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def argmax_with_ties(w):
+    return relational.most_of_group(w["orders"].select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM orders), 9) AS percent FROM orders GROUP BY 1")
+def share_of_total(w):
+    return relational.share_of_total(w["orders"], "o_orderstatus")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1 ORDER BY 1 LIMIT 3")
+def guarded_select(w):
+    return ingest.run_select(w.spark, "SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_totalprice > 100000 GROUP BY 1 ORDER BY 1", 3, orders=w["orders"])
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def hourly_events(w):
     """The batch answer of the streaming count by hour."""

@@ -230,3 +230,53 @@ def test_seed_checks(spark):
     with pytest.raises(ValueError):
         seeds.load_order({"a": {"b"}, "b": {"a"}})
     assert seeds.prepare(rows, "dbo.T", ["k"], "G", {"n": "none"}).where("n = 'none'").count() == 1
+
+
+def test_addresses_and_seeds(spark):
+    from narrata.operators import ingest
+
+    sources = {"w": {"type": "mediawiki", "api_url": "http://w/api.php"}, "o": {"type": "openalex", "api_url": "http://o"}}
+    config = [
+        {"source": "w", "titles": ["Luke S", "Luke S"], "priority": 3},
+        {"source": "o", "resource_type": "work", "work_ids": ["12", "W7"], "dois": ["10.1/x"]},
+        {"source": "o", "resource_type": "search", "search_query": "star wars"},
+        {"source": "none", "titles": ["x"]},
+        {"source": "w"},
+    ]
+    got = {r["resource_id"]: (r["request_uri"], r["priority"]) for r in ingest.seed_items(spark, config, sources).collect()}
+    assert got == {
+        "Luke S": ("http://w/api.php?action=query&format=json&titles=Luke+S&prop=links&pllimit=500", 3),
+        "W12": ("http://o/works/W12", 10),
+        "W7": ("http://o/works/W7", 10),
+        "10.1/x": ("http://o/works/doi:10.1%2Fx", 10),
+        "star wars": ("http://o/works?search=star+wars", 10),
+    }
+    urls = one(strings(spark, "http://o/works", "http://o/works?a=1", "http://o?mailto=x").orderBy("i").select(ingest.polite(F.col("t"), "me@x.org")))
+    assert urls == [("http://o/works?mailto=me%40x.org",), ("http://o/works?a=1&mailto=me%40x.org",), ("http://o?mailto=x",)]
+
+
+def test_http_text(spark):
+    from narrata.operators import ingest
+
+    df = spark.createDataFrame([(200, "OK", "http://x", {"date": "d", "x": "y"}, "b" * 5000), (None, None, None, None, None)], "s int, r string, u string, h map<string,string>, b string")
+    first, second = (x for (x,) in one(df.select(ingest.http_text(F.col("s"), F.col("r"), F.col("u"), F.col("h"), F.col("b"), 500))))
+    assert first == "HTTP 200 OK\nURL: http://x\ndate: d\n\n--- Response Body ---\n" + "b" * 1000
+    assert second == "HTTP UNKNOWN \nURL: unknown\n\n--- Response Body ---\n"
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE VIEW v AS SELECT 1", "SET a=b"])
+def test_only_queries_run(spark, sql):
+    from narrata.operators import ingest
+
+    with pytest.raises(ValueError):
+        ingest.run_select(spark, sql)
+    assert ingest.run_select(spark, "SELECT * FROM range(10)", 3).count() == 3
+
+
+def test_library_ships_itself(spark, monkeypatch, tmp_path):
+    import __spark_entry__ as e
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    assert e.queries()["learn_scenes"](spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.sparkContext.applicationId in e._SHIPPED
