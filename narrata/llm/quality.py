@@ -96,8 +96,12 @@ class Model:
         return np.stack([np.bincount(row, self.weights[f, k], len(texts)) for k in range(len(HEADS))], 1) + self.bias
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], alpha: float = 0.15, l1: float = 0.6, l2: float = 0.2, epochs: int = 4) -> Model:
-    """FTRL-proximal logistic regression on (features, labels) rows, both heads at once; NaN labels teach nothing."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], alpha: float = 0.4, l1: float | None = None, l2: float = 0.2, epochs: int = 6) -> Model:
+    """FTRL-proximal logistic regression on (features, labels) rows, both heads at once; NaN labels teach nothing.
+
+    The L1 penalty grows with the sample up to 4, which leaves some hundred features with a weight.
+    """
+    l1 = min(4.0, len(samples) / 130) if l1 is None else l1
     size = FEATURES
     # The shape tells low quality, the words tell toxicity.
     reads = np.zeros((size + 1, len(HEADS)))
