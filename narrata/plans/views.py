@@ -223,8 +223,8 @@ def current(df: DataFrame) -> DataFrame:
 class Views:
     """All views over one data folder, planned lazily and at most once each."""
 
-    def __init__(self, spark, sf_dir: str):
-        self.tables, self.planned = Warehouse(spark, sf_dir), {}
+    def __init__(self, spark, sf_dir: str, built: str | None = None):
+        self.tables, self.planned = Warehouse(spark, sf_dir, built), {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.planned:

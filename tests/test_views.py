@@ -73,3 +73,11 @@ def test_filters_reach_the_scan(spark, sf):
     text = plan_of(df)
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in text
     assert "props" not in text.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_built_warehouse_gives_the_same_views(spark, sf, tmp_path):
+    Views(spark, sf).tables.build(str(tmp_path))
+    built = Views(spark, sf, str(tmp_path))
+    for name in ("sem_event_participant", "mart_scene_event_density"):
+        assert built[name].exceptAll(Views(spark, sf)[name]).count() == 0
+        assert "lineitem" not in plan_of(built[name])
