@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.functions import text
+
 
 def sample_rows(df: DataFrame, group: str, order: list[str], most: int, how: str = "first_only") -> DataFrame:
     """Rows of each group in a sample of at most most: first_only, first_last (half and half) or stride.
@@ -62,3 +64,48 @@ def check_facts(outputs: DataFrame, column: str) -> DataFrame:
         .when(bad, "bad fact")
     )
     return outputs.withColumn("fault", fault)
+
+# The defaults of an evidence policy.
+POLICY = {"max_items": 50, "max_total_bytes": 100_000, "max_item_bytes": 10_000, "max_sql_rows": 100, "max_sql_cols": 20, "chunk_size": 2000, "chunk_overlap": 200, "sampling_strategy": "first_only"}
+
+
+def policy_faults(policy: dict) -> list[str]:
+    """What is wrong with a policy; an empty list if nothing is."""
+    p = POLICY | policy
+    rules = {
+        "max_items must be at least 1": p["max_items"] >= 1,
+        "max_total_bytes must be at least 1000": p["max_total_bytes"] >= 1000,
+        "max_item_bytes must be at least 100": p["max_item_bytes"] >= 100,
+        "max_item_bytes must not exceed max_total_bytes": p["max_item_bytes"] <= p["max_total_bytes"],
+        "max_sql_rows must be at least 1": p["max_sql_rows"] >= 1,
+        "max_sql_cols must be at least 1 if given": not p["max_sql_cols"] or p["max_sql_cols"] >= 1,
+        "chunk_size must be at least 100": p["chunk_size"] >= 100,
+        "chunk_overlap must not be negative": p["chunk_overlap"] >= 0,
+        "chunk_overlap must be below chunk_size": p["chunk_overlap"] < p["chunk_size"],
+        "sampling_strategy is unknown": p["sampling_strategy"] in ("first_only", "first_last", "stride"),
+    }
+    return [what for what, holds in rules.items() if not holds]
+
+
+def load_items(texts: DataFrame, max_item_bytes: int = POLICY["max_item_bytes"]) -> DataFrame:
+    """Items of evidence from texts (bundle, source_ordinal, evidence_type, source_ref, text), in one pass.
+
+    Texts are redacted, then cut; responses are cut before they are redacted; query definitions aren't redacted.
+    """
+    kind, raw = F.col("evidence_type"), F.coalesce("text", F.lit(""))
+    cut_first = text.redact(text.truncate_bytes(raw, max_item_bytes))
+    content = (
+        F.when(kind == "lake_http", cut_first)
+        .when(kind == "sql_query_def", text.truncate_bytes(raw, max_item_bytes))
+        .otherwise(text.truncate_bytes(text.redact(raw), max_item_bytes))
+    )
+    return texts.select(
+        "bundle",
+        "source_ordinal",
+        "evidence_type",
+        text.evidence_id(kind, F.coalesce("source_ref", F.lit("")), F.col("source_ordinal")).alias("item_id"),
+        content.alias("content"),
+        F.sha2(content, 256).alias("content_sha256"),
+        F.octet_length(content).cast("long").alias("byte_count"),
+        (F.octet_length(raw) > max_item_bytes).alias("cut"),
+    )

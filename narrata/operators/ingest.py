@@ -94,3 +94,69 @@ def run_select(spark: SparkSession, sql: str, limit: int = 100, **tables: DataFr
 def artifacts(outputs: DataFrame, content: str) -> DataFrame:
     """Outputs with the hash and the size that their record holds."""
     return outputs.withColumns({"content_sha256": F.sha2(content, 256), "byte_count": F.octet_length(content).cast("long")})
+
+# The parameters of a wiki's requests, by kind; {} stands for what is asked for.
+WIKI_REQUESTS: dict[str, dict[str, str | int]] = {
+    "page": {"action": "query", "format": "json", "titles": "{}"},
+    "page_by_id": {"action": "query", "format": "json", "pageids": "{}"},
+    "search": {"action": "opensearch", "format": "json", "search": "{}", "limit": 10},
+    "categories": {"action": "query", "format": "json", "titles": "{}", "prop": "categories", "cllimit": 500},
+    "links": {"action": "query", "format": "json", "titles": "{}", "prop": "links", "pllimit": 500},
+    "raw": {"action": "query", "format": "json", "pageids": "{}", "prop": "revisions", "rvprop": "content", "rvslots": "main"},
+    "html": {"action": "parse", "format": "json", "pageid": "{}", "prop": "text"},
+}
+
+
+def wiki_request(api: Column | str, kind: str, asked: Column) -> Column:
+    """The address of a wiki's request: a page by title or id, a search, its categories, links, source or HTML."""
+    return address(api, **{k: asked if v == "{}" else v for k, v in WIKI_REQUESTS[kind].items()})
+
+
+_PAGE = "struct<pageid: bigint, title: string, links: array<struct<title: string>>, categories: array<struct<title: string>>>"
+
+
+def wiki_pages(records: DataFrame, payload: str = "payload") -> DataFrame:
+    """The pages of wiki payloads, one row each, as column page after the record's own.
+
+    payload.query.pages is an object by page id, or an array; the object's key -1 marks a missing page.
+    """
+    text = F.get_json_object(payload, "$.query.pages")
+    by_id = F.map_values(F.map_filter(F.from_json(text, f"map<string, {_PAGE}>"), lambda k, v: k != "-1"))
+    listed = F.from_json(text, f"array<{_PAGE}>")
+    pages = F.when(text.startswith("["), listed).otherwise(by_id)
+    return records.withColumn("page", F.explode(pages))
+
+
+def wiki_edges(records: DataFrame, payload: str = "payload") -> DataFrame:
+    """(page_id, title, target), a row for each link occurrence of each page."""
+    pages = wiki_pages(records, payload).select(F.col("page.pageid").alias("page_id"), F.col("page.title").alias("title"), "page.links")
+    return pages.select("page_id", "title", F.explode("links.title").alias("target"))
+
+
+def wiki_children(records: DataFrame, payload: str = "payload", max_depth: int = 1) -> DataFrame:
+    """Work items for the links (10 later) and the categories (20 later) of fetched pages above the depth limit."""
+    from narrata.operators.graph import discover
+
+    pages = wiki_pages(records.where(F.col("depth") < max_depth), payload)
+    found = discover(pages, F.col("page.links.title"), "page", 10, max_depth)
+    return found.unionByName(discover(pages, F.col("page.categories.title"), "category", 20, max_depth))
+
+
+_WORK = "struct<id: string, doi: string, title: string, display_name: string, concepts: array<struct<display_name: string>>, referenced_works: array<string>>"
+
+
+def cited_works(records: DataFrame, payload: str = "payload") -> DataFrame:
+    """(work_id, identifier, title, concepts, refs) of citation payloads: one work, or a list under results."""
+    text = F.col(payload)
+    listed = F.from_json(F.get_json_object(text, "$.results"), f"array<{_WORK}>")
+    works = F.coalesce(listed, F.array(F.from_json(text, _WORK)))
+    from narrata.operators.graph import clean_identifier
+
+    return records.withColumn("w", F.explode(works)).where("w.id IS NOT NULL").select(
+        *records.columns,
+        clean_identifier(F.col("w.id")).alias("work_id"),
+        clean_identifier(F.col("w.doi")).alias("identifier"),
+        F.coalesce("w.title", "w.display_name").alias("title"),
+        F.col("w.concepts.display_name").alias("concepts"),
+        F.transform(F.col("w.referenced_works"), clean_identifier).alias("refs"),
+    )

@@ -55,3 +55,24 @@ def hits_to_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Items of evidence for hits whose chunk is there."""
     found = hits.join(chunks.select("chunk_id", "content", "content_sha256", "byte_count"), "chunk_id")
     return found.withColumn("evidence_id", text.evidence_id(F.lit("doc_chunk"), F.col("chunk_id").cast("string"), F.col("rank") - 1))
+
+
+def candidates(embeddings: DataFrame, chunks: DataFrame, model: str | None = None, source_types: list[str] | None = None) -> DataFrame:
+    """Embeddings with their chunk, of one model and of some source types where these are given."""
+    rows = embeddings if model is None else embeddings.where(F.col("model") == model)
+    of = chunks if source_types is None else chunks.where(F.col("source_type").isin(*source_types))
+    return rows.join(of, "chunk_id")
+
+
+def new_embeddings(embeddings: DataFrame, known: DataFrame) -> DataFrame:
+    """Embeddings whose (chunk, model, vector hash) is not known, one of each."""
+    key = ["chunk_id", "model", "vector_sha256"]
+    return embeddings.dropDuplicates(key).join(known.select(*key).distinct(), key, "left_anti")
+
+
+def index_manifest(sources: DataFrame, indexed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row about an indexing run: sources seen, indexed and skipped, chunks and bytes made."""
+    one = lambda df, *c: df.agg(*c)
+    n = lambda name: F.count(F.lit(1)).alias(name)
+    row = one(sources, n("sources")).crossJoin(one(indexed, n("indexed"))).crossJoin(one(chunks, n("chunks"), F.coalesce(F.sum("byte_count"), F.lit(0)).alias("bytes")))
+    return row.withColumn("skipped", F.col("sources") - F.col("indexed"))

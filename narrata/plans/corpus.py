@@ -325,6 +325,13 @@ def evidence_ids(w):
     return w["documents"].select("doc_id", text.evidence_id(kind, F.col("source"), F.col("doc_id")).alias("evidence_id"))
 
 
+@query()
+def evidence_items(w):
+    kind = F.when(F.col("doc_id") % 3 == 0, "doc_chunk").when(F.col("doc_id") % 3 == 1, "lake_http").otherwise("sql_query_def")
+    rows = w["documents"].select(F.col("source").alias("bundle"), F.col("doc_id").alias("source_ordinal"), kind.alias("evidence_type"), F.col("lang").alias("source_ref"), "text")
+    return evidence.load_items(rows, 1000).drop("content")
+
+
 _CHUNKS = """s AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) <= 2000 THEN 1 ELSE 1 + CAST(ceil((length(text) - 2000) / 1800.0) AS INT) END AS c FROM documents WHERE length(text) > 0),
     x AS (SELECT doc_id, text, n, unnest(range(0, least(c, 100))) AS i FROM s), y AS (SELECT *, substring(text, CAST(i * 1800 + 1 AS BIGINT), 2000) AS w FROM x),
     z AS (SELECT *, CASE WHEN i * 1800 + 2000 < n AND contains(w, ' ') AND length(w) - strpos(reverse(w), ' ') > 1000 THEN i * 1800 + length(w) - strpos(reverse(w), ' ') ELSE least(i * 1800 + 2000, n) END AS e FROM y)"""
@@ -346,6 +353,18 @@ def incremental_index(w):
     return retrieval.to_index(docs, old).select("source_id", "content_sha256")
 
 
+@query(
+    f"""WITH {_CHUNKS}, c AS (SELECT substring(text, CAST(i * 1800 + 1 AS BIGINT), CAST(e - i * 1800 AS BIGINT)) AS t FROM z WHERE doc_id % 10 < 3 OR doc_id % 10 >= 8),
+    n AS (SELECT (SELECT count(*) FROM documents) AS sources, (SELECT count(*) FROM documents WHERE doc_id % 10 < 3 OR doc_id % 10 >= 8) AS indexed)
+    SELECT sources, indexed, (SELECT count(*) FROM c) AS chunks, CAST((SELECT sum(octet_length(encode(t))) FROM c) AS BIGINT) AS bytes, sources - indexed AS skipped FROM n"""
+)
+def index_run(w):
+    docs = w["documents"].select(F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
+    old = docs.where("source_id % 10 < 8").select("source_id", F.when(F.col("source_id") % 10 < 3, F.lit("stale")).otherwise(F.sha2("content", 256)).alias("content_sha256"))
+    fresh = retrieval.to_index(docs, old)
+    return retrieval.index_manifest(docs, fresh, retrieval.chunk_records(fresh))
+
+
 @query(
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id < 10),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE score >= 0) SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""

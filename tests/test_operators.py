@@ -280,3 +280,42 @@ def test_library_ships_itself(spark, monkeypatch, tmp_path):
     monkeypatch.delenv("PYTHONPATH", raising=False)
     assert e.queries()["learn_scenes"](spark, "/root/testdata/sf0.001").count() > 0
     assert spark.sparkContext.applicationId in e._SHIPPED
+
+
+def test_wiki_payloads(spark):
+    from narrata.operators import ingest
+
+    object_form = {"query": {"pages": {"5": {"pageid": 5, "title": "Star", "links": [{"title": "Luke"}, {"title": "Luke"}], "categories": [{"title": "C"}]}, "-1": {"title": "gone", "links": [{"title": "no"}]}}}}
+    list_form = {"query": {"pages": [{"pageid": 6, "title": "Luke", "links": [{"title": "Star"}]}, {"pageid": 7, "title": "Bare"}]}}
+    rows = [(json.dumps(x), "s", "n", "id", 10, d) for x, d in ((object_form, 0), (list_form, 0), (list_form, 1), ({}, 0))] + [("not json", "s", "n", "id", 10, 0)]
+    df = spark.createDataFrame(rows, "payload string, source_system string, source_name string, resource_id string, priority int, depth int")
+    assert sorted(one(ingest.wiki_edges(df.where("depth = 0")))) == [(5, "Star", "Luke"), (5, "Star", "Luke"), (6, "Luke", "Star")]
+    got = one(ingest.wiki_children(df).select("resource_type", "resource_id", "priority", "depth"))
+    assert sorted(got) == [("category", "C", 30, 1), ("page", "Luke", 20, 1), ("page", "Luke", 20, 1), ("page", "Star", 20, 1)]
+    assert one(strings(spark, "A b").select(ingest.wiki_request("http://w", "categories", F.col("t")))) == [("http://w?action=query&format=json&titles=A+b&prop=categories&cllimit=500",)]
+
+
+def test_citation_payloads(spark):
+    from narrata.operators import ingest
+
+    work = {"id": "https://o.org/W1", "doi": "https://doi.org/10.1/a", "display_name": "T", "concepts": [{"display_name": "Sith"}], "referenced_works": ["https://o.org/W2", "W3"]}
+    df = strings(spark, json.dumps(work), json.dumps({"results": [work, {**work, "id": "W9", "doi": None}]}), "x").withColumnRenamed("t", "payload")
+    got = sorted(one(ingest.cited_works(df).select("i", "work_id", "identifier", "title", "concepts", "refs")))
+    assert got == [(0, "W1", "10.1/a", "T", ["Sith"], ["W2", "W3"]), (1, "W1", "10.1/a", "T", ["Sith"], ["W2", "W3"]), (1, "W9", None, "T", ["Sith"], ["W2", "W3"])]
+
+
+def test_policies_and_items(spark):
+    assert evidence.policy_faults({}) == []
+    assert len(evidence.policy_faults({"max_items": 0, "max_total_bytes": 10, "max_item_bytes": 50, "max_sql_rows": 0, "chunk_size": 50, "chunk_overlap": 60, "sampling_strategy": "x"})) == 8
+    rows = [("b", 0, "inline_text", "r", "a@b.org " * 3), ("b", 1, "lake_http", "r", "a@b.org " * 3), ("b", 2, "sql_query_def", "r", "a@b.org"), ("b", 3, "other", None, None)]
+    df = spark.createDataFrame(rows, "bundle string, source_ordinal int, evidence_type string, source_ref string, text string")
+    got = [r["content"] for r in evidence.load_items(df, 18).orderBy("source_ordinal").collect()]
+    assert got == ["[EMAIL_REDACTED] [", "[EMAIL_REDACTED] [EMAIL_REDACTED] a@", "a@b.org", ""]
+
+
+def test_embedding_tables(spark):
+    e = spark.createDataFrame([("c1", "m", "h1"), ("c1", "m", "h1"), ("c2", "m", "h2"), ("c3", "n", "h3")], "chunk_id string, model string, vector_sha256 string")
+    chunks = spark.createDataFrame([("c1", "doc", 5), ("c2", "web", 7)], "chunk_id string, source_type string, byte_count int")
+    assert sorted(r["chunk_id"] for r in retrieval.new_embeddings(e, e.where("chunk_id = 'c2'")).collect()) == ["c1", "c3"]
+    assert [r["chunk_id"] for r in retrieval.candidates(e, chunks, "m", ["web"]).collect()] == ["c2"]
+    assert tuple(retrieval.index_manifest(e, e.limit(1), chunks).select("sources", "indexed", "chunks", "bytes", "skipped").first()) == (4, 1, 2, 12, 3)
