@@ -65,20 +65,20 @@ def redact_payload(payload: Column) -> Column:
     return payload
 
 
-def truncate_bytes(text: Column, limit: int) -> Column:
+def truncate_bytes(text: Column, limit: int | Column) -> Column:
     """The first limit bytes of the UTF-8 text; where that cuts a character, three more bytes go first.
 
     Whole characters are found on the text's hexadecimal digits: continuation bytes begin with 8 to B.
     """
+    cut = limit if isinstance(limit, Column) else F.lit(limit)
     data = F.encode(text, "UTF-8")
-    boundary = F.octet_length(data) <= limit
+    boundary = F.octet_length(data) <= cut
 
     def starts(n: Column) -> Column:
         """Whether a character starts at byte n (from 0), or the text ends there."""
         digit = F.substring(F.hex(F.substring(data, n + 1, F.lit(1))), 1, 1)
         return ~F.coalesce(digit.isin("8", "9", "A", "B"), F.lit(False))
 
-    cut = F.lit(limit)
     back = F.greatest(cut - 3, F.lit(0))
     whole = F.when(starts(cut), cut)
     for k in range(4):

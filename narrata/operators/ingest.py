@@ -75,11 +75,7 @@ def http_text(status: Column, reason: Column, url: Column, headers: Column, body
     head = F.concat_ws("\n", *lines)
     text = F.coalesce(body, F.lit(""))
     room = F.greatest(F.lit(limit) - F.octet_length(head) - 100, F.lit(1000))
-    # The limit differs by row: texts that fit are whole, others are cut at the largest step that fits.
-    cut = F.when(F.octet_length(text) <= room, text)
-    for bytes_ in sorted({1000, *range(1000, max(limit, 1001), 1000)}, reverse=True):
-        cut = F.coalesce(cut, F.when(room >= bytes_, truncate_bytes(text, bytes_)))
-    return F.concat(head, F.lit("\n\n--- Response Body ---\n"), cut)
+    return F.concat(head, F.lit("\n\n--- Response Body ---\n"), truncate_bytes(text, room))
 
 
 def run_select(spark: SparkSession, sql: str, limit: int = 100, **tables: DataFrame) -> DataFrame:

@@ -261,6 +261,8 @@ def test_http_text(spark):
     df = spark.createDataFrame([(200, "OK", "http://x", {"date": "d", "x": "y"}, "b" * 5000), (None, None, None, None, None)], "s int, r string, u string, h map<string,string>, b string")
     first, second = (x for (x,) in one(df.select(ingest.http_text(F.col("s"), F.col("r"), F.col("u"), F.col("h"), F.col("b"), 500))))
     assert first == "HTTP 200 OK\nURL: http://x\ndate: d\n\n--- Response Body ---\n" + "b" * 1000
+    longer = one(df.limit(1).select(ingest.http_text(F.col("s"), F.col("r"), F.col("u"), F.col("h"), F.col("b"), 2345)))[0][0]
+    assert longer.split("---\n")[1] == "b" * (2345 - 100 - len("HTTP 200 OK\nURL: http://x\ndate: d"))
     assert second == "HTTP UNKNOWN \nURL: unknown\n\n--- Response Body ---\n"
 
 
