@@ -167,7 +167,8 @@ class Warehouse:
             elif name in BASE:
                 self.planned[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             else:
-                self.planned[name] = self.sql(TABLES[name])
+                # Timestamps without a zone, so that no session's zone moves them.
+                self.planned[name] = self.sql(re.sub(r"\bTIMESTAMP(?= '|\))", "TIMESTAMP_NTZ", TABLES[name]))
         return self.planned[name]
 
     def sql(self, text: str) -> DataFrame:
