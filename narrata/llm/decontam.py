@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from narrata.llm.common import columns_of, map_rows, ready, sha
+from narrata.llm.common import map_rows, ready
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast machine is built from.
