@@ -15,7 +15,8 @@ repeated window and drop out.
 Verifying. Anchors of repeated keys whose whole context (the words of all windows they own) occurs twice
 settle all their windows at once. The others have their windows hashed one by one, in 128 bits, and compared.
 Every grouping is combined within the task before it is shuffled, so a passage that a third of all rows
-share is a row or so of each task; joins are plain equi-joins, which Spark can split.
+share is a row or so of each task; joins are plain equi-joins, which Spark can split. Nothing is broadcast
+by hint: every side grows with the data.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.llm.common import arrow_schema, columns_of, cuts, hash_words, inverse, kept, measured, mix, powers, ready, sha
+from narrata.llm.common import arrow_schema, columns_of, cuts, hash_words, inverse, kept, mix, powers, ready, sha
 
 WINDOW = 35
 #: Anchors or windows of a task that are combined at once, and places that one row lists at most.
@@ -333,38 +334,23 @@ def _remove(plan: Plan, texts: bool):
     return step
 
 
-def _flag_rows(rows: DataFrame, flag: str) -> DataFrame:
-    """(places, flag) to one row for each text of a task: its id, its hash, and its flags."""
+def _flag_rows(rows: DataFrame, flag: int) -> DataFrame:
+    """A row for each place: its id, its hash, and the flag there. Grouping by text combines them in the task."""
     schema = arrow_schema(_FLAGS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush():
-            places = np.concatenate([p for p, _ in held])
-            flags = np.concatenate([np.full(len(p), f, np.uint8) for p, f in held])
-            order = np.lexsort((places["at"], places["text"], places["doc"]))
-            places, flags = places[order], flags[order]
-            new = np.concatenate(([True], (places["doc"][1:] != places["doc"][:-1]) | (places["text"][1:] != places["text"][:-1])))
-            head = np.flatnonzero(new)
-            body = np.zeros(len(places), _FLAG)
-            body["at"], body["flag"] = places["at"], flags
-            offsets = (np.append(head, len(places)) * _FLAG.itemsize).astype(np.int32)
-            listing = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(body.view(np.uint8))])
-            whole = pa.RecordBatch.from_arrays([pa.array(places["doc"][head]), pa.array(places["text"][head]), listing], schema=schema)
-            yield from (whole.slice(i, 2_000) for i in range(0, len(head), 2_000))
-
         for batch in batches:
-            for p, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((np.frombuffer(p, PLACE), f))
-                n += len(held[-1][0])
-                if n >= COMBINED:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
+            raw = b"".join(batch.column(0).to_pylist())
+            places = np.frombuffer(raw, PLACE)
+            for i in range(0, len(places), 20_000):
+                part = places[i : i + 20_000]
+                body = np.zeros(len(part), _FLAG)
+                body["at"], body["flag"] = part["at"], flag
+                offsets = (np.arange(len(part) + 1) * _FLAG.itemsize).astype(np.int32)
+                listing = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(body.view(np.uint8))])
+                yield pa.RecordBatch.from_arrays([pa.array(part["doc"]), pa.array(part["text"]), listing], schema=schema)
 
-    return rows.select("places", F.lit(0).cast("int") if not flag else F.expr(flag).cast("int").alias("flag")).mapInArrow(run, _FLAGS)
+    return rows.select("places").mapInArrow(run, _FLAGS)
 
 
 def _per_text(*flags: DataFrame) -> DataFrame:
@@ -391,17 +377,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     keys = own.select("text").where(F.col("text").isNotNull()).mapInArrow(_emit_keys(plan), _KEYS)
     repeated = kept(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     rows = own.where(F.col("text").isNotNull()).mapInArrow(_emit_anchors(plan), _ROWS)
-    rows = kept(rows.join(measured(repeated), "key", "left_semi"))
-    contexts = rows.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min("places").alias("teller"))
-    several = contexts.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("several"))
-    info = kept(contexts.join(several, "key"))
-    settled = rows.join(measured(info.where("n > 1").select("key", "context")), ["key", "context"], "left_semi")
-    asking = info.where("several and n = 1").select(F.col("teller").alias("places"))
-    telling = info.where("several and n > 1").select(F.substring("teller", 1, PLACE.itemsize).alias("places"))
-    flags = _per_text(_flag_rows(settled, str(SETTLED)), _flag_rows(asking, str(ASK)), _flag_rows(telling, str(TELL)))
+    rows = kept(rows.join(repeated, "key", "left_semi"))
+    first = F.min(F.substring("places", 1, PLACE.itemsize))
+    contexts = kept(rows.groupBy("key", "context").agg(F.sum("n").alias("n"), first.alias("places")))
+    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = contexts.join(kept(several), "key", "left_semi")
+    settled = rows.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi")
+    asking, telling = shared.where("n = 1"), shared.where("n > 1")
+    flags = _per_text(_flag_rows(settled, SETTLED), _flag_rows(asking, ASK), _flag_rows(telling, TELL))
 
     def flagged(flags: DataFrame, how: str, *columns: F.Column) -> DataFrame:
-        side = measured(flags.withColumnRenamed("doc", "f_doc").withColumnRenamed("hash", "f_hash"), "octet_length(flags)")
+        side = flags.withColumnRenamed("doc", "f_doc").withColumnRenamed("hash", "f_hash")
         base = docs.select(*columns, F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("k_doc"), F.hash("text").alias("k_hash"), F.col("text").alias("k_text"))
         return base.join(side, (F.col("k_doc") == F.col("f_doc")) & (F.col("k_hash") == F.col("f_hash")), how)
 
@@ -410,7 +396,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     windows = kept(asked.mapInArrow(_emit_windows(plan), _ROWS))
     again = windows.groupBy("key", "context").agg(F.sum("n").alias("n")).where("n > 1").select("key", "context")
     found = windows.where(F.octet_length("places") > 0).join(again, ["key", "context"], "left_semi")
-    flags = _per_text(flags, _flag_rows(found, str(ONE)))
+    flags = _per_text(flags, _flag_rows(found, ONE))
 
     kinds = docs.select(*carry).schema.fields
     inner = [f"c{i}" for i in range(len(kinds))]
