@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import struct
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from narrata.llm.common import columns_of, map_rows, ready, sha
 
 #: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 #: Pre-tokens longer than this (code points) are encoded each time and not remembered.
 REMEMBERED_CHARS = 64
 
@@ -69,7 +70,11 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers the ids of short pre-tokens."""
+    """Encodes and decodes whole texts; remembers the ids of short pre-tokens.
+
+    What is remembered has two generations: when the younger is full it becomes the older, and what the
+    older still answers moves back. So frequent pre-tokens stay, and REMEMBERED bounds each generation.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -80,7 +85,9 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(serialise(ranks))
         self.token = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        self.number = [str(i) for i in range(len(self.token))]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         spelt = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
@@ -89,33 +96,27 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         parts = self.split(text)
         known = self.known
-        if missing := [p for p in set(parts) if p not in known]:
-            fresh = self._learn(missing)
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= REMEMBERED_CHARS)
-            if any(p not in known for p in parts):
-                known = _Both(fresh, known, self)
-        return [i for ids in map(known.__getitem__, parts) for i in ids]
+        if missing := set(parts).difference(known):
+            again = {p for p in missing if p in self.older}
+            found = self._learn(list(missing.difference(again)))
+            found.update((p, self.older[p]) for p in again)
+            short = {p: ids for p, ids in found.items() if len(p) <= REMEMBERED_CHARS}
+            if len(short) < len(found) or len(known) + len(short) > REMEMBERED:
+                # This text's own table: some of its pre-tokens won't be among those remembered.
+                known = {p: known[p] for p in set(parts).difference(found)} | found
+            if len(self.known) + len(short) > REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known.update(short)
+        return list(chain.from_iterable(map(known.__getitem__, parts)))
+
+    def decimals(self, ids: list[int]) -> str:
+        """The ids as decimal numbers, joined by one space."""
+        return " ".join(map(self.number.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-class _Both(dict):
-    """The ids of a text's new pre-tokens, before those remembered; forgotten ones are encoded again."""
-
-    def __init__(self, fresh: dict, known: dict, codec: Codec):
-        super().__init__(fresh)
-        self.known, self.codec = known, codec
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            found = self[piece] = self.codec._learn([piece])[piece]
-        return found
-
-
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file on this worker; the file is a part of the installed tokenizer package."""
@@ -140,7 +141,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, carry: tuple[str,
             ids = tool.encode(text or "")
             out["ids"].append(ids if with_ids else None)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(sha(" ".join(map(str, ids)).encode()))
+            out["ids_sha256"].append(sha(tool.decimals(ids).encode()))
             out["decoded_sha256"].append(sha(tool.decode(ids)))
         return out | {c: rows[c] for c in inner}
 
