@@ -5,8 +5,9 @@ gives the sum of any rectangle in four look-ups, so sixteen filters (differences
 rectangle can be halved or cut in three) cost the same at any size. Each filter gives two bits in Gray code;
 a frame's bits are one packed 32-bit integer.
 
-To align recordings, equal high bits of frames vote for offsets. For each pair the offset with the most votes
-is verified by the bit errors of all frames that overlap there.
+To align recordings, every query is held against every recording at every offset with enough overlap: the bits of
+blocks of recordings are matrices of plus and minus one, so one product gives the bit errors of all pairs of two
+blocks at an offset. No candidate is chosen beforehand, so no pair within the error limit is missed.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import types as T
 from narrata.llm.common import arrow_schema, columns_of, kept, map_rows, measured, ready
 
 RATE, FRAME, HOP = 4000, 512, 256
-#: Frames that a filter spans at most, and high bits that two frames must share to vote: all of them.
-SPAN, VOTE_BITS = 12, 32
-#: A pair matches with this many votes at one offset, frames of overlap, and bit errors at most.
-VOTES, OVERLAP, ERRORS = 3, 24, 0.20
+#: Frames that a filter spans at most.
+SPAN = 12
+#: A pair matches with this many frames of overlap at one offset, and bit errors at most.
+OVERLAP, ERRORS = 24, 0.20
+#: Frames of one block of recordings, each counted as long as the block's longest.
+BLOCK_FRAMES = 1 << 14
 #: Log ratio from which a filter's answer is strong.
 STRONG = 0.35
 
@@ -126,35 +129,74 @@ def fingerprints(recordings: DataFrame, id_column: str = "rec_id", audio: str =
     return map_rows(taken, lambda rows: {"rec_id": rows["rec_id"], "fp": [fingerprint(x).tobytes() for x in rows["audio"]]}, _PRINT, "audio")
 
 
-_POST = columns_of(("class_id", T.LongType()), ("key", T.IntegerType()), ("at", T.IntegerType()))
+_BLOCK = columns_of(("ids", T.ArrayType(T.LongType())), ("fps", T.ArrayType(T.BinaryType())))
 
 
-def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(_POST)
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema(_BLOCK)
+    ids, fps, longest = [], [], 0
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([ids], schema.field(0).type), pa.array([fps], schema.field(1).type)], schema=schema)
+
     for batch in batches:
         for c, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys = (np.frombuffer(fp, np.uint32) >> np.uint32(32 - VOTE_BITS)).astype(np.int32)
-            # A sound that lasts repeats its key; the first of each run votes.
-            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c)), pa.array(keys[at]), pa.array(at.astype(np.int32))], schema=schema)
+            if ids and max(longest, len(fp) // 4) * (len(ids) + 1) > BLOCK_FRAMES:
+                yield block()
+                ids, fps, longest = [], [], 0
+            ids.append(c)
+            fps.append(fp)
+            longest = max(longest, len(fp) // 4)
+    if ids:
+        yield block()
 
 
 _MATCH = columns_of(("left_id", T.LongType()), ("right_id", T.LongType()), ("offset", T.IntegerType()), ("votes", T.LongType()), ("overlap", T.IntegerType()), ("error_rate", T.DoubleType()))
 
 
-def _bit_errors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signs(fps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Frames of each recording, and a row of its bits as plus and minus one, zero after its end."""
+    size = np.array([len(x) // 4 for x in fps])
+    out = np.zeros((len(fps), 32 * int(size.max())), np.float32)
+    for row, x in zip(out, fps, strict=True):
+        row[: 8 * len(x)] = np.unpackbits(np.frombuffer(x, np.uint8)) * np.float32(2) - 1
+    return size, out
+
+
+def nearest(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the lowest share of bit errors at any offset with enough overlap (2 if none), and that offset.
+
+    Of equal shares the smallest shift counts, and of a shift's two directions the positive one.
+    """
+    (m, x), (n, y) = _signs(left), _signs(right)
+    best, where = np.full((len(m), len(n)), 2.0), np.zeros((len(m), len(n)), np.int32)
+    for offset in sorted(range(OVERLAP - int(n.max()), int(m.max()) - OVERLAP + 1), key=lambda o: (abs(o), -o)):
+        overlap = np.minimum.outer(m - max(0, offset), n - max(0, -offset))
+        frames = int(overlap.max())
+        if frames < OVERLAP:
+            continue
+        a, b = 32 * max(0, offset), 32 * max(0, -offset)
+        same = x[:, a : a + 32 * frames] @ y[:, b : b + 32 * frames].T
+        rate = (32.0 * overlap - same) / (64.0 * np.maximum(overlap, 1))
+        better = (rate < best) & (overlap >= OVERLAP)
+        best[better], where[better] = rate[better], offset
+    return best, where
+
+
+def _matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_MATCH)
     for batch in batches:
-        out = []
-        for a, b, offset, votes, fa, fb in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            x, y = np.frombuffer(fa, np.uint32), np.frombuffer(fb, np.uint32)
-            x, y = x[max(0, offset) :], y[max(0, -offset) :]
-            n = min(len(x), len(y))
-            wrong = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
-            out.append((a, b, offset, votes, n, wrong / (32 * n) if n else 1.0))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for q, q_fps, c, fps in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            best, where = nearest(q_fps, fps)
+            out = []
+            for i, j in zip(*np.nonzero(best <= ERRORS), strict=True):
+                if q[i] != c[j]:
+                    offset = int(where[i, j])
+                    x, y = (np.frombuffer(fp, np.uint32)[max(0, at) :] for fp, at in ((q_fps[i], offset), (fps[j], -offset)))
+                    n = min(len(x), len(y))
+                    out.append((q[i], c[j], offset, int((x[:n] == y[:n]).sum()), n, float(best[i, j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def align(prints: DataFrame, is_query: Column) -> DataFrame:
@@ -171,20 +213,12 @@ def align(prints: DataFrame, is_query: Column) -> DataFrame:
     classes = kept(named.groupBy("name").agg(F.min("rec_id").alias("class_id"), F.first("fp").alias("fp"), F.max("query").alias("query")))
     members = named.select("rec_id", "name").distinct().join(classes.select("name", "class_id"), "name")
     posts = classes.where(F.octet_length("fp") > 0)
-    asked = kept(posts.where("query").select("class_id", "fp").mapInArrow(_postings, _POST))
-    votes = (
-        posts.select("class_id", "fp").mapInArrow(_postings, _POST)
-        .join(measured(asked.select(F.col("class_id").alias("q"), "key", F.col("at").alias("q_at"))), "key")
-        .where("q <> class_id")
-        .groupBy("q", "class_id", (F.col("q_at") - F.col("at")).alias("offset"))
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .where(F.col("votes") >= VOTES)
-    )
-    best = votes.groupBy("q", "class_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("b")).select("q", "class_id", "b.offset", "b.votes")
-    queries = measured(kept(classes.where("query").select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp"))), "octet_length(q_fp)")
-    both = best.join(queries, "q").join(classes.select("class_id", "fp"), "class_id")
-    found = both.select("q", "class_id", "offset", "votes", "q_fp", "fp").mapInArrow(_bit_errors, _MATCH)
-    found = found.where((F.col("overlap") >= OVERLAP) & (F.col("error_rate") <= ERRORS))
+    packed = lambda df: df.select("class_id", "fp").sortWithinPartitions(F.octet_length("fp")).mapInArrow(_blocks, _BLOCK)
+    asked = kept(packed(posts.where("query")).select(F.col("ids").alias("q"), F.col("fps").alias("q_fps")))
+    # Blocks are few and heavy, so they are dealt to more tasks than their files would make.
+    blocks = packed(posts).repartition(4 * prints.sparkSession.sparkContext.defaultParallelism)
+    pairs = blocks.crossJoin(measured(asked, "aggregate(q_fps, 0L, (n, x) -> n + octet_length(x))"))
+    found = pairs.select("q", "q_fps", "ids", "fps").mapInArrow(_matches, _MATCH)
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("offset", "int"), ("votes", "long"), ("overlap", "int"), ("error_rate", "double"))]
     member = members.select(F.lit("member").alias("kind"), F.col("rec_id").alias("left_id"), F.col("class_id").alias("right_id"), *empty)
     return member.unionByName(found.select(F.lit("match").alias("kind"), "*"))

@@ -140,6 +140,53 @@ def test_alignment_equals_brute_force(spark):
     assert {(x["left_id"], x["right_id"]) for x in rows} == near and len(near) >= 60
 
 
+def test_alignment_without_equal_frames(spark):
+    """Recordings whose every frame has bit errors, all within the limit, beside ones just over it."""
+    r = np.random.default_rng(8)
+    prints = []
+    for k in range(6):
+        base = r.integers(0, 2, (60 + k, 32))
+        prints += [base, base ^ (r.random(base.shape) < 0.1), (base ^ (r.random(base.shape) < 0.16))[9:], base ^ (r.random(base.shape) < 0.24)]
+    held = [np.frombuffer(np.packbits(x).tobytes(), np.uint32) for x in prints]
+    near = {}
+    for i, x in enumerate(held):
+        for j, y in enumerate(held):
+            for offset in range(-45, 46):
+                n = min(len(x) - max(0, offset), len(y) - max(0, -offset))
+                wrong = np.bitwise_count(x[max(0, offset) :][:n] ^ y[max(0, -offset) :][:n]).sum() / (32 * n)
+                if i != j and i % 3 == 0 and n >= audio.OVERLAP and wrong <= audio.ERRORS:
+                    near[i, j] = min(near.get((i, j), (2, 0)), (wrong, offset))
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(held)], "rec_id long, fp binary")
+    found = audio.align(rows, F.col("rec_id") % 3 == 0).where("kind = 'match'").collect()
+    assert len(found) == len(near) >= 8 and {(x["left_id"], x["right_id"]): (x["error_rate"], x["offset"]) for x in found} == near
+    assert any(x["votes"] == 0 for x in found)
+
+
+def test_alignment_of_embeddings_equals_brute_force(spark, sf):
+    """The query's steps on its table, with changed copies of the queries' vectors beside it."""
+    r = np.random.default_rng(9)
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    v = {x["vec_id"]: x["embedding"] for x in table.collect()}
+    for i in range(0, 500, 100):
+        for k in range(12):
+            x = np.array(v[i])
+            at = r.choice(64, 2 + 2 * k, replace=False)
+            x[at] += x.std() * r.normal(size=len(at))
+            v[1000 + i + k + 1] = x.tolist()
+    held = {i: audio.fingerprint(audio.encode_wav(audio.melody(x))).view(np.uint32) for i, x in v.items()}
+    near = set()
+    for i in (i for i in held if i % 100 == 0):
+        for j in held:
+            for offset in range(-28, 29):
+                x, y = held[i][max(0, offset) :], held[j][max(0, -offset) :]
+                n = min(len(x), len(y))
+                if i != j and n >= audio.OVERLAP and np.bitwise_count(x[:n] ^ y[:n]).sum() <= audio.ERRORS * 32 * n:
+                    near.add((i, j))
+    rows = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    found = audio.align(audio.fingerprints(audio.render(rows)), F.col("rec_id") % 100 == 0).where("kind = 'match'")
+    assert {(x["left_id"], x["right_id"]) for x in found.collect()} == near and len(near) >= 20
+
+
 def test_integral_image_sums_and_wav():
     x = tune(3)
     rate, back = audio.decode_wav(audio.encode_wav(x))
