@@ -36,9 +36,7 @@ def resolve(strategy: str, json_time: Column, sql_time: Column, prefer_json: boo
 def import_plan(json_side: DataFrame, sql_side: DataFrame, strategy: str = "prefer_newest") -> DataFrame:
     """For each JSON record: action skip (its hash is known), insert, update, keep (SQL wins) or failed."""
     known = sql_side.select("content_sha256").distinct().withColumn("_known", F.lit(True))
-    w = Window.partitionBy("natural_key").orderBy(F.col("observed_at").desc_nulls_last(), "record_id")
-    newest = sql_side.where("natural_key IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    newest = newest.select("natural_key", F.col("observed_at").alias("_sql_at"), F.lit(True).alias("_has"))
+    newest = sql_side.where("natural_key IS NOT NULL").groupBy("natural_key").agg(F.max("observed_at").alias("_sql_at")).withColumn("_has", F.lit(True))
     both = json_side.join(known, "content_sha256", "left").join(newest, "natural_key", "left")
     won = resolve(strategy, F.col("observed_at"), F.col("_sql_at"))
     action = (

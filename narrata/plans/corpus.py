@@ -186,7 +186,7 @@ def _sides(w) -> tuple[DataFrame, DataFrame]:
         F.sha2(F.col("props"), 256).alias("content_sha256"),
         F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("observed_at"),
     )
-    return rows.where("record_id % 2 = 0 AND record_id < 2000"), rows.where("record_id % 2 = 1 AND record_id < 1000")
+    return rows.where("record_id % 2 = 0"), rows.where("record_id % 2 = 1")
 
 
 _SIDES = """r AS (SELECT event_id AS record_id, CASE WHEN event_id % 11 <> 0 THEN event_type || '/' || CAST(user_id % 40 AS VARCHAR) END AS natural_key, sha256(props) AS content_sha256,
