@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from narrata.functions import text
 from narrata.operators.relational import few
 
+#: Vectors in a block.
+BLOCK = 512
+
 
 def chunk_records(sources: DataFrame, size: int = 2000, overlap: int = 200, most: int = 100, version: str = "1.0") -> DataFrame:
     """Chunk rows of sources (source_id, content) with their ids, hashes and sizes."""
@@ -38,17 +47,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm))
 
 
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an id and a vector, packed BLOCK to a row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], batch.schema.names)
+
+
+def _by_size(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size the places, matrix and norms of the vectors without nulls."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in set(sizes.tolist()) - {0}:
+        at = np.flatnonzero(sizes == n)
+        flat = vectors.take(pa.array(at)).flatten()
+        whole = ~np.asarray(flat.is_null()).reshape(-1, n).any(1)
+        rows = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False).reshape(-1, n)[whole]
+        out[n] = at[whole], rows, np.sqrt((rows * rows).sum(1))
+    return out
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """(query_id, chunk_id, score, rank): for each query (query_id, vector) the k best candidates (chunk_id, vector).
 
-    Queries are a stated set, met by all candidates (broadcast if they are few); each task keeps its best k
-    of a query before the shuffle. Scores below the threshold and vectors of another size drop out; equal
-    scores go by chunk_id.
+    Blocks of queries meet blocks of candidates (broadcast if they are few); each pair of blocks keeps its best k
+    of a query before the shuffle. Scores below the threshold and vectors of another size drop out; scores equal in
+    nine places go by chunk_id.
     """
-    q = few(queries.select("query_id", F.col("vector").alias("_q")))
-    scored = candidates.crossJoin(q).select("query_id", "chunk_id", cosine(F.col("_q"), F.col("vector")).alias("score")).where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        id_type, vector = df.schema[name].dataType, df.schema["vector"].dataType
+        return df.select(name, "vector").mapInArrow(_blocks, T.StructType([T.StructField(name, T.ArrayType(id_type)), T.StructField("vector", T.ArrayType(vector))]))
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q, c_ids, c = (batch.column(j)[i].values for j in range(4))
+                order = pc.sort_indices(c_ids, sort_keys=[("", "ascending")], null_placement="at_start")
+                c_ids, c = c_ids.take(order), _by_size(c.take(order))
+                for n, (q_at, q_rows, q_norm) in _by_size(q).items():
+                    if n not in c:
+                        continue
+                    at, rows, norm = c[n]
+                    norms = np.outer(q_norm, norm)
+                    score = np.where(norms == 0, 0.0, q_rows @ rows.T / np.where(norms == 0, 1.0, norms))
+                    rounded = np.where(np.isnan(score), np.inf, np.round(score, 9))
+                    top = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
+                    found = np.take_along_axis(score, top, 1)
+                    x, y = np.nonzero(~(found < threshold))
+                    places = np.take_along_axis(rounded, top, 1)[x, y]
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_at[x])), c_ids.take(pa.array(at[top[x, y]])), pa.array(found[x, y]), pa.array(places)], ["query_id", "chunk_id", "score", "_places"])
+
+    asked = few(packed(queries, "query_id").withColumnRenamed("vector", "_q"), 1000)
+    blocks = packed(candidates, "chunk_id").repartition(4 * candidates.sparkSession.sparkContext.defaultParallelism)
+    pairs = blocks.crossJoin(asked).select("query_id", "_q", "chunk_id", "vector")
+    kinds = [("query_id", queries.schema["query_id"].dataType), ("chunk_id", candidates.schema["chunk_id"].dataType), ("score", T.DoubleType()), ("_places", T.DoubleType())]
+    scored = pairs.mapInArrow(best, T.StructType([T.StructField(*x) for x in kinds]))
+    w = Window.partitionBy("query_id").orderBy(F.desc("_places"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_places")
 
 
 def hits_to_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:

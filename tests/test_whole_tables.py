@@ -13,3 +13,9 @@ def test_snapshots_of_all_events(spark, name):
     whole = queries.oracle_sql()[name].replace(" AND record_id < 2000", "").replace(" AND record_id < 1000", "")
     assert "record_id <" not in whole
     oracle.check(queries.queries()[name](spark, SF), oracle.connect(SF), whole)
+
+
+def test_every_hundredth_vector_is_a_query(spark):
+    whole = queries.oracle_sql()["cosine_topk"].replace("q.vec_id < 10", "q.vec_id % 100 = 0")
+    assert "vec_id <" not in whole
+    oracle.check(queries.queries()["cosine_topk"](spark, SF), oracle.connect(SF), whole)
