@@ -67,7 +67,7 @@ def discover_links(w):
     SELECT node, min(depth) AS depth FROM r GROUP BY node"""
 )
 def crawl_frontier(w):
-    edges = w["orders"].where("o_orderkey < 2000").join(w["lineitem"], F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"))
+    edges = w["orders"].join(w["lineitem"], F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"))
     return graph.crawl(w.spark.createDataFrame([(7,)], "node long"), edges, 2)
 
 

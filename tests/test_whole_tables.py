@@ -15,6 +15,12 @@ def test_snapshots_of_all_events(spark, name):
     oracle.check(queries.queries()[name](spark, SF), oracle.connect(SF), whole)
 
 
+def test_links_of_all_orders(spark):
+    whole = queries.oracle_sql()["crawl_frontier"].replace(" WHERE o_orderkey < 2000", "")
+    assert "o_orderkey <" not in whole
+    oracle.check(queries.queries()["crawl_frontier"](spark, SF), oracle.connect(SF), whole)
+
+
 def test_every_hundredth_vector_is_a_query(spark):
     whole = queries.oracle_sql()["cosine_topk"].replace("q.vec_id < 10", "q.vec_id % 100 = 0")
     assert "vec_id <" not in whole
