@@ -24,12 +24,31 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
+    """One document of each group of near duplicates: that of the smallest doc_id. Repeated rows are one."""
+    docs = _one_of_each(docs)
     found = neardup.near_duplicates(docs)
     gone = measured(kept(found.where("not kept").select("doc_id").distinct()))
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text. A row without a doc_id goes if another row has its text.
+
+    Only rows that repeat, or have no doc_id, are dealt by their texts; the others stay where they are.
+    """
+    plain, names = _numbered(docs)
+    rows = plain.withColumn("_key", F.coalesce(F.sha2("text", 256), F.lit("")))
+    named, unnamed = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    repeated = measured(kept(named.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")), "length(_key)")
+    keys = measured(kept(unnamed.select("_key").distinct()), "length(_key)")
+    held = measured(kept(named.select("_key").join(keys, "_key", "left_semi").distinct()), "length(_key)")
+    once = named.join(repeated, ["doc_id", "_key"], "left_anti")
+    first = named.join(repeated, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    other = unnamed.join(held, "_key", "left_anti").dropDuplicates(["_key"])
+    found = once.unionByName(first).unionByName(other)
+    return found.select(*(F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)))
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated windows; a text that loses nothing stays as it is."""
     plain, names = _numbered(docs)

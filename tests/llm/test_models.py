@@ -221,6 +221,27 @@ def test_pipeline_parts(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "bpe_encoding"]
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, sf):
+    import corpus_pipeline
+    from narrata.llm import neardup
+
+    def survivors(rows):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, sf)
+        return rows.select("doc_id", "text").collect()
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    alone = {r["component_id"] for r in neardup.near_duplicates(docs).groupBy("component_id").count().where("count = 1").collect()}
+    whole = [r["doc_id"] for r in survivors(docs) if r["doc_id"] in alone and r["text"] == texts[r["doc_id"]] and len(r["text"].split()) >= 40]
+    a, b, c = sorted(whole)[:3]
+    copies = docs.where(F.col("doc_id").isin(b, c)).withColumn("doc_id", F.lit(None).cast("long"))
+    more = docs.where(F.col("doc_id") != b).unionByName(docs.where(F.col("doc_id") == a)).unionByName(copies).unionByName(copies)
+    rows = survivors(more)
+    assert sorted(str(r["doc_id"]) for r in rows if r["text"] in (texts[a], texts[b], texts[c])) == sorted([str(a), "None", str(c)])
+    assert not [r for r in rows if r["text"] == "" and r["doc_id"] in (None, a, c)]
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, sf):
     import corpus_pipeline
     from narrata.llm import bpe_codec
