@@ -271,14 +271,13 @@ def redaction_counts(w):
 
 @query(r"SELECT page_id, regexp_replace(url || '&token=abc' || CAST(page_id AS VARCHAR), '([?&])(token|key|page)=([^&\s]+)', '\1\2=[REDACTED]', 'gi') AS url FROM (SELECT page_id, url FROM pages WHERE url NOT LIKE '%page=%')")
 def redact_urls(w):
-    rows = w["pages"].where("url NOT LIKE '%page=%'")
-    return rows.select("page_id", text.redact_url(F.concat("url", F.lit("&token=abc"), F.col("page_id").cast("string"))).alias("url"))
+    return w["pages"].select("page_id", text.redact_url(F.concat("url", F.lit("&token=abc"), F.col("page_id").cast("string"))).alias("url"))
 
 
 @query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 200 THEN octet_length(encode(text)) END AS whole_bytes FROM documents")
 def truncate_texts(w):
     cut = text.truncate_bytes(F.col("text"), 200)
-    return w["documents"].select("doc_id", F.when(F.octet_length("text") <= 200, F.octet_length(cut)).cast("long").alias("whole_bytes"))
+    return w["documents"].select("doc_id", F.octet_length(cut).cast("long").alias("whole_bytes"), F.sha2(cut, 256).alias("cut_sha256"))
 
 
 _SAMPLED = """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
