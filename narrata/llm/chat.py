@@ -126,7 +126,7 @@ def read_turns(formatted: Column, template: Template = TEMPLATE) -> Column:
     pieces = F.split(formatted, re.escape(template.end).replace("<", "\\x3C").replace(">", "\\x3E") + "\n")
     whole = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
     head = len(template.turn)
-    pattern = r"(?s)^((?:\\.|[^\\\n])*)\n(.*)$"
+    pattern = r"(?s)^((?:\\.|[^\\\n])*+)\n(.*)$"  # possessive: a loop, not a recursion for each character
 
     def parse(piece: Column) -> Column:
         rest = F.substring(piece, head + 1, 1 << 30)
