@@ -3,7 +3,8 @@
 Features are n-grams of one to three characters of the lower-cased text, with runs of non-letters read as
 one space, hashed to a fixed number of places. Document frequencies cover all training rows; the weights are
 fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample of them, and a
-temperature, fitted on rows of the sample that were set aside, calibrates the scores.
+temperature, fitted on rows of the sample that were set aside, calibrates the scores. Every label of the
+training rows is a class; a training set whose weights can't be held raises an error.
 """
 
 from __future__ import annotations
@@ -13,18 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.llm.common import arrow_schema, columns_of, cuts, map_rows, ready, sampled
+from narrata.llm.common import arrow_schema, columns_of, cuts, map_rows, ready
 
 PLACES = 1 << 15
 UNKNOWN = "und"
-#: Bound of the fitting sample: rows of each language, on average.
+#: Bound of the fitting sample: rows of each language at most.
 SAMPLE_PER_LANGUAGE = 800
-#: Bound of the languages learned: the most frequent ones, more than there are languages.
-LANGUAGES = 4096
+#: Weights (places that occur in the sample, by languages) that a fit may have; beyond it raises an error.
+WEIGHTS = 24_000_000
+#: Errors of a class smaller than this leave its weights as they are.
+LEAST_ERROR = 1e-3
 
 
 def letters() -> np.ndarray:
@@ -73,17 +76,24 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 @dataclass
 class Model:
+    """Weights of the places that have any; row 0 is for all other places, and is zero."""
+
     languages: list[str]
-    idf: np.ndarray
-    weights: np.ndarray  # place, language
+    at: np.ndarray  # place to row of weights
+    weights: np.ndarray  # row, language; scaled by the inverse document frequency
     bias: np.ndarray
     temperature: float = 1.0
 
     def logits(self, grams: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """Sums of weights by text: TF is the share of an n-gram among its text's, so sums are means."""
-        table = self.weights * self.idf[:, None]
         counts = np.maximum(np.bincount(rows, minlength=n), 1)
-        return np.stack([np.bincount(rows, table[grams, k], n) / counts for k in range(len(self.languages))], 1) + self.bias
+        found = self.at[grams]
+        if len(self.languages) <= 64:
+            return np.stack([np.bincount(rows, self.weights[found, k], n) / counts for k in range(len(self.languages))], 1) + self.bias
+        pairs, times = np.unique(rows.astype(np.int64) * len(self.weights) + found, return_counts=True)
+        edges = np.searchsorted(pairs, np.arange(n + 1) * len(self.weights))
+        sums = [times[a:b].astype(np.float32) @ self.weights[pairs[a:b] % len(self.weights)] for a, b in zip(edges, edges[1:], strict=False)]
+        return np.stack(sums) / counts[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         grams, rows, has = features(texts)
@@ -100,44 +110,72 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alpha: float = 0.5, l1: float = 0.02, l2: float = 0.02, epochs: int = 4) -> Model:
-    """FTRL-proximal with L1 and L2 on (places, shares, language) rows; every fifth row calibrates."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alpha: float = 0.5, l1: float = 0.3, l2: float = 0.02, epochs: int = 4) -> Model | None:
+    """FTRL-proximal with L1 and L2 on (places, shares, language) rows; every fifth row calibrates.
+
+    None without rows. Classes whose error on a row is below LEAST_ERROR keep their weights, so a row costs
+    what its rivals cost, however many classes there are.
+    """
+    if not samples:
+        return None
     languages = sorted({y for *_, y in samples})
     number = {y: k for k, y in enumerate(languages)}
+    used_places = np.unique(np.concatenate([i for i, *_ in samples]))
+    at = np.zeros(len(idf), np.int32)
+    at[used_places] = np.arange(1, len(used_places) + 1)
+    if (size := (len(used_places) + 1) * len(languages)) > WEIGHTS:
+        raise ValueError(f"{len(languages)} languages with {len(used_places)} places need {size} weights; the bound is {WEIGHTS}")
     # Each row's TF-IDF vector has length one while fitting; the scale goes into the temperature.
-    rows = [(i, x * idf[i], number[y]) for i, x, y in samples]
+    rows = [(at[i], x * idf[i], number[y]) for i, x, y in samples]
     held, used = rows[::5], [r for k, r in enumerate(rows) if k % 5] or rows
-    z, n = np.zeros((len(idf) + 1, len(languages))), np.zeros((len(idf) + 1, len(languages)))
-
-    def weights(i) -> np.ndarray:
-        zi = z[i]
-        out = -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(n[i])) / alpha + l2)
-        out[np.abs(zi) <= l1] = 0
-        return out
-
+    shape = (len(used_places) + 2, len(languages))  # the last row is the bias
+    z, n, w = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
     order = np.random.default_rng(7)
-    scale = 1 / max(1e-9, float(np.mean([np.sqrt((x * x).sum()) for _, x, _ in rows])) if rows else 1.0)
+    scale = 1 / max(1e-9, float(np.mean([np.sqrt((x * x).sum()) for _, x, _ in rows])))
     for _ in range(epochs):
         for k in order.permutation(len(used)):
             i, x, y = used[k]
-            at, value = np.append(i, len(idf)), np.append(x * scale, 1.0)
-            w = weights(at)
-            error = softmax(value @ w)
+            i, x = np.append(i, shape[0] - 1), np.append(x * scale, 1.0)
+            error = softmax(x @ w[i])
             error[y] -= 1
-            g = value[:, None] * error
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
-            n[at] += g * g
-    w = weights(np.arange(len(idf) + 1))
-    model = Model(languages, idf.astype(np.float32), (w[:-1] * scale).astype(np.float32), w[-1])
+            rivals = np.flatnonzero(np.abs(error) >= LEAST_ERROR)
+            part = np.ix_(i, rivals) if len(rivals) < len(error) else (i, slice(None))
+            g = x[:, None] * error[rivals]
+            before, step = n[part], g * g
+            zp = z[part] + g - (np.sqrt(before + step) - np.sqrt(before)) / alpha * w[part]
+            z[part], n[part] = zp, before + step
+            w[part] = np.where(np.abs(zp) <= l1, 0, -(zp - np.sign(zp) * l1) / ((1 + np.sqrt(before + step)) / alpha + l2))
+    weights = w[:-1] * scale
+    weights[1:] *= idf[used_places, None]
+    model = Model(languages, at, weights.astype(np.float32), w[-1].astype(float))
     if held and len(languages) > 1:
-        logits = np.stack([(x[:, None] * model.weights[i]).sum(0) + model.bias for i, x, _ in held])
-        target = np.array([y for *_, y in held])
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-        loss = [-np.log(softmax(logits / t)[np.arange(len(target)), target] + 1e-12).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
+        raw = w[:-1] * scale
+        model.temperature = calibrate(np.stack([x @ raw[i] + model.bias for i, x, _ in held]), np.array([y for *_, y in held]))
     return model
 
 
+def calibrate(logits: np.ndarray, target: np.ndarray) -> float:
+    """The temperature of the least cross-entropy to smoothed targets.
+
+    As in Platt's scaling the right class counts 1 - 1 / (rows + 2) and the others share the rest, so the
+    optimum is finite even if every row is right.
+    """
+    n, k = logits.shape
+    wanted = np.full((n, k), 1 / (n + 2) / (k - 1))
+    wanted[np.arange(n), target] = 1 - 1 / (n + 2)
+    logits = logits - logits.max(1, keepdims=True)
+
+    def loss(log_t: float) -> float:
+        x = logits / np.exp(log_t)
+        return float((np.log(np.exp(x).sum(1)) - (wanted * x).sum(1)).mean())
+
+    low, high = np.log(1e-4), np.log(1e4)  # the loss is convex in the inverse temperature
+    for _ in range(80):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 def _document_frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each task: how many of its texts have each place, and, at place -1, how many texts it has."""
     total, seen = np.zeros(PLACES, np.int64), 0
@@ -171,12 +209,16 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     """The model of labelled texts (doc_id, text, lang): None if there is no labelled text.
 
     Rows without a text or a language teach nothing. Document frequencies are of all rows; the weights see a
-    hashed sample of about per_language rows of each language, the same on every run.
+    sample, hashed by id and text and so the same on every run, of at most per_language rows of each language.
+    Rows that are the same in id and text fall under one draw.
     """
+    spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().limit(WEIGHTS + 1).collect()
     if not counts:
         return None
+    if len(counts) > WEIGHTS:
+        raise ValueError(f"more than {WEIGHTS} languages")
     found = rows.select("text").mapInArrow(_document_frequencies, _FREQUENCY).groupBy("place").agg(F.sum("n").alias("n")).collect()
     total = next((r["n"] for r in found if r["place"] == -1), 0)
     df = np.zeros(PLACES)
@@ -184,10 +226,14 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
         if r["place"] >= 0:
             df[r["place"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    pick: Column = F.lit(False)
-    for r in counts:
-        pick = pick | ((F.col("lang") == r["lang"]) & sampled("doc_id", min(1.0, per_language / r["count"]), 11))
-    vectors = map_rows(rows.where(pick), _vectors, _ROW).collect()
+    # A draw somewhat larger than the bound, then the bound itself.
+    share = spark.createDataFrame([(r["lang"], min(1.0, 1.2 * per_language / r["count"])) for r in counts], "y string, share double")
+    draw = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text")
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(share), F.col("lang") == F.col("y"))
+    drawn = drawn.where(F.pmod("draw", F.lit(1 << 40)) < F.col("share") * (1 << 40)).select("lang", "text", "draw")
+    order = Window.partitionBy("lang").orderBy("draw")
+    chosen = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).select("text", "lang")
+    vectors = map_rows(chosen, _vectors, _ROW).collect()
     vectors.sort(key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["shares"])))
     samples = [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["shares"], np.float32), r["lang"]) for r in vectors]
     order = np.random.default_rng(5).permutation(len(samples))

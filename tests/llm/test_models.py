@@ -45,8 +45,46 @@ def test_prediction_sees_only_the_text(spark):
 def test_elastic_net_makes_weights_sparse():
     r = np.random.default_rng(0)
     rows = [(np.array([k % 2, 2 + r.integers(50)], np.int32), np.array([0.5, 0.5], np.float32), "ab"[k % 2]) for k in range(300)]
-    model = langid.fit(rows, np.ones(60), l1=1.0)
-    assert (np.abs(model.weights[:2]).sum(1) > 0).all() and (model.weights[2:] == 0).mean() > 0.5
+    model = langid.fit(rows, np.ones(60))  # with the penalties of production
+    telling, rest = model.weights[model.at[:2]], model.weights[model.at[2:52]]
+    assert (np.abs(telling).sum(1) > 0).all() and (rest == 0).mean() > 0.5
+
+
+def test_samples_of_null_and_repeated_ids(spark):
+    words = {"en": "the cat and the dog", "de": "der Hund und die Katze"}
+    rows = [(None, f"{words[y]} {k}x", y, "", "") for k in range(60) for y in words] + [(5, f"{words[y]} {k}y", y, "", "") for k in range(60) for y in words]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs, 20)
+    assert model.predict(["the dog", "und der Hund"])[0] == ["en", "de"]
+    # One row, many times: one draw for all, and no more than the bound if it takes them.
+    same = spark.createDataFrame([(i // 30, "the cat", "en", "", "") for i in range(3000)], DOCS)
+    for i in range(4):
+        found = langid.train(same.where(F.col("doc_id") == i), 10)
+        assert found is None or found.languages == ["en"]
+    assert langid.fit([], np.ones(langid.PLACES)) is None
+
+
+def test_every_label_is_learned(spark):
+    """No label is dropped: a training set is learned whole, or refused."""
+
+    def labelled(n):
+        return spark.createDataFrame([(i, chr(0x4E00 + i) * 4, f"y{i:05d}", "", "") for i in range(n)], DOCS)
+
+    model = langid.train(labelled(1000))
+    assert len(model.languages) == 1000
+    got = model.predict([chr(0x4E00 + i) * 4 for i in range(1000)])[0]
+    assert sum(y == f"y{i:05d}" for i, y in enumerate(got)) > 600
+    with pytest.raises(ValueError, match="the bound is"):
+        langid.train(labelled(10_000))
+
+
+def test_calibration_is_finite_and_convex():
+    right = np.array([[9.0, 0.0], [0.0, 9.0]] * 20)
+    assert 0.05 < langid.calibrate(right, np.array([0, 1] * 20)) < 20
+    r = np.random.default_rng(2)
+    logits, t = r.normal(size=(4000, 3)), 2.5
+    y = np.array([r.choice(3, p=p) for p in langid.softmax(logits / t)])
+    assert abs(langid.calibrate(logits, y) / t - 1) < 0.2
 
 
 # Quality
