@@ -10,18 +10,25 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, islice
+from operator import not_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm.common import columns_of, map_rows, ready, sha
 
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 120_000
-#: Pre-tokens longer than this (code points) are encoded each time and not remembered.
+#: Distinct pre-tokens that a generation of a worker's memory holds.
+REMEMBERED = 200_000
+#: Characters of text that are looked up at once: few enough to stay in a processor's cache.
+STEP_CHARS = 1 << 16
+#: Those longer than this (code points) are encoded each time and not remembered.
 REMEMBERED_CHARS = 64
 
 
@@ -69,11 +76,63 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return body + _field(2, trainer) + _field(3, normalizer)
 
 
+class Memory:
+    """The numbers of pre-tokens' pieces, as packed 32-bit integers, in two generations.
+
+    When the younger is full it becomes the older, and what the older still answers moves back. So frequent
+    pre-tokens stay; a generation holds REMEMBERED pre-tokens and those of one more call. Long ones are
+    learned each time.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], Iterable[bytes]]):
+        self.learn = learn
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def look(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        out = list(map(known.get, words))
+        gaps = list(compress(range(len(out)), map(not_, out)))
+        if gaps:
+            missing = {words[i] for i in gaps}
+            found = {w: x for w in missing if (x := self.older.get(w))}
+            new = list(missing.difference(found))
+            found.update(zip(new, self.learn(new), strict=True))
+            for i in gaps:
+                out[i] = found[words[i]]
+            known.update(found)
+            for w in new:
+                if len(w) > REMEMBERED_CHARS:
+                    del known[w]
+            if len(known) > REMEMBERED:
+                self.older, self.known = known, {}
+        return out
+
+
+class Spelling:
+    """Byte strings by number, in rows of a table, so that a whole sequence is spelt at once."""
+
+    WIDTH = 16
+
+    def __init__(self, strings: list[bytes]):
+        self.strings = strings
+        self.width = min(self.WIDTH, max(map(len, strings), default=1))
+        self.table = np.frombuffer(b"".join(s[: self.width].ljust(self.width) for s in strings), np.uint8).reshape(-1, self.width)
+        self.size = np.array([min(len(s), 255) for s in strings], np.uint8)
+        self.at = np.arange(self.width, dtype=np.uint8)
+
+    def join(self, numbers: np.ndarray) -> bytes:
+        size = self.size[numbers]
+        if len(size) and size.max() > self.width:
+            return b"".join([self.strings[i] for i in numbers.tolist()])
+        return self.table[numbers][self.at < size[:, None]].tobytes()
+
+
 class Codec:
-    """Encodes and decodes whole texts; remembers the ids of short pre-tokens.
+    """Encodes and decodes whole texts.
 
-    What is remembered has two generations: when the younger is full it becomes the older, and what the
-    older still answers moves back. So frequent pre-tokens stay, and REMEMBERED bounds each generation.
+    Each pre-token, a match of the pattern, is encoded on its own, and its ids are remembered. Decoding and
+    the decimals of ids are look-ups by id.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -84,37 +143,30 @@ class Codec:
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(serialise(ranks))
-        self.token = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.number = [str(i) for i in range(len(self.token))]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.tokens = Spelling([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])])
+        self.numerals = Spelling([b"%d " % i for i in range(len(ranks))])
+        self.memory = Memory(self._learn)
+
+    def _learn(self, words: list[str]) -> Iterable[bytes]:
+        """The piece numbers of pre-tokens, encoded one by one."""
+        spelt = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        return (array("i", x).tobytes() for x in self.model.encode(spelt, num_threads=1)) if spelt else ()
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        spelt = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        return dict(zip(pieces, (tuple(i - 1 for i in ids) for ids in self.model.encode(spelt, num_threads=1)), strict=True))
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, which are piece numbers less the unknown piece; what isn't remembered is learned at once."""
+        parts = [self.split(t) for t in texts]
+        found = iter(self.memory.look(list(chain.from_iterable(parts))))
+        return [np.frombuffer(b"".join(islice(found, len(p))), np.int32) - 1 for p in parts]
 
     def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
-        known = self.known
-        if missing := set(parts).difference(known):
-            again = {p for p in missing if p in self.older}
-            found = self._learn(list(missing.difference(again)))
-            found.update((p, self.older[p]) for p in again)
-            short = {p: ids for p, ids in found.items() if len(p) <= REMEMBERED_CHARS}
-            if len(short) < len(found) or len(known) + len(short) > REMEMBERED:
-                # This text's own table: some of its pre-tokens won't be among those remembered.
-                known = {p: known[p] for p in set(parts).difference(found)} | found
-            if len(self.known) + len(short) > REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known.update(short)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
-
-    def decimals(self, ids: list[int]) -> str:
+        return self.encode_all([text])[0].tolist()
+
+    def decimals(self, ids: np.ndarray) -> bytes:
         """The ids as decimal numbers, joined by one space."""
-        return " ".join(map(self.number.__getitem__, ids))
+        return self.numerals.join(ids)[:-1]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.tokens.join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -136,16 +188,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, carry: tuple[str,
 
     def step(rows: dict[str, list]) -> dict[str, object]:
         tool = codec(path, pattern)
-        out: dict[str, list] = {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in rows["text"]:
-            ids = tool.encode(text or "")
-            out["ids"].append(ids if with_ids else None)
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(sha(tool.decimals(ids).encode()))
-            out["decoded_sha256"].append(sha(tool.decode(ids)))
-        return out | {c: rows[c] for c in inner}
+        found = tool.encode_all([t or "" for t in rows["text"]])
+        out: dict[str, object] = {c: rows[c] for c in inner}
+        out["n_tokens"] = [len(ids) for ids in found]
+        out["ids_sha256"] = [sha(tool.decimals(ids)) for ids in found]
+        out["decoded_sha256"] = [sha(tool.decode(ids)) for ids in found]
+        if with_ids:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + out["n_tokens"], dtype=np.int32)), pa.array(np.concatenate(found)))
+        return out
 
     taken = docs.select(*(F.col(f.name).alias(c) for f, c in zip(kinds, inner, strict=True)), F.col("text").alias("text"))
     schema = columns_of(*((c, f.dataType) for c, f in zip(inner, kinds, strict=True)), *added)
-    found = map_rows(taken, step, schema)
+    found = map_rows(taken, step, schema, step_chars=STEP_CHARS)
     return found.select(*(F.col(c).alias(f.name) for c, f in zip(inner, kinds, strict=True)), *(n for n, _ in added))

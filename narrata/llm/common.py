@@ -90,8 +90,9 @@ def map_rows(
     step: Callable[[dict[str, list]], dict[str, object]],
     schema: T.StructType,
     weigh: str | None = "text",
+    step_chars: int = STEP_CHARS,
 ) -> DataFrame:
-    """Apply step to column lists of a few thousand rows at a time, cut at STEP_CHARS of the column weigh.
+    """Apply step to column lists of a few hundred rows at a time, cut at step_chars of the column weigh.
 
     step gets and returns a dict of columns; every batch is independent, so a lost task is simply run again.
     """
@@ -101,18 +102,22 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             columns = batch.to_pydict()
-            for a, b in cuts(columns[weigh] if weigh else None, batch.num_rows):
+            for a, b in cuts(columns[weigh] if weigh else None, batch.num_rows, step_chars):
                 out = step({k: v[a:b] for k, v in columns.items()})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def cuts(texts: list | None, n: int) -> Iterator[tuple[int, int]]:
+def _column(values: object, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def cuts(texts: list | None, n: int, step_chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     start = weight = 0
     for i in range(n):
         weight += len(texts[i] or "") if texts is not None else 0
-        if weight >= STEP_CHARS:
+        if weight >= step_chars:
             yield start, i + 1
             start, weight = i + 1, 0
     if start < n:
