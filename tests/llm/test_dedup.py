@@ -79,6 +79,41 @@ def test_windows_of_equal_words_have_equal_anchors():
             assert len(places) == 1
 
 
+def test_repeats_are_revealed_by_names(monkeypatch):
+    """With names that differ from batch to batch, no name of a repeated window is shared: the names do the work."""
+    r = random.Random(11)
+    plan = substring.Plan.of(35)
+    passage = [f"w{r.randrange(900)}" for _ in range(80)] + ["very"] * 3 + ["so"] * 4
+    texts = [" ".join([f"{k}{i}" for i in range(20)] + passage + [f"{k}x{i}" for i in range(20)]) for k in "ab"]
+
+    def shared():
+        found = []
+        for t in texts:
+            one = substring.Text([t])
+            found.append(set(one.keys(plan, one.anchors(plan)[0]).tolist()))
+        return found[0] & found[1]
+
+    assert len(shared()) >= 3
+    parse, calls = substring.Text.parse, []
+
+    def broken(self, plan):
+        start, name, length = parse(self, plan)
+        calls.append(1)
+        return start, name + np.uint64(len(calls)), length
+
+    monkeypatch.setattr(substring.Text, "parse", broken)
+    assert not shared()
+
+
+def test_runs_are_named_with_their_lengths():
+    plan = substring.Plan.of(35)
+    one = substring.Text([" ".join(["a", *["b"] * k, "c"]) for k in (2, 3, 4, 2)])
+    start, name, length = one.parse(plan)
+    runs = {int(n): int(k) for n, k in zip(name, length, strict=True) if k > 1}
+    assert one.row[start].tolist().count(0) == one.row[start].tolist().count(3)
+    assert len(runs) >= 3
+
+
 def test_repeated_rows_ids_and_texts(spark):
     long, other = " ".join(f"p{k}" for k in range(60)), " ".join(f"q{k}" for k in range(60))
     rows = [(1, long), (1, long), (None, other), (2, "x " + other), (3, " ".join(f"r{k}" for k in range(50))), (3, "z")]
