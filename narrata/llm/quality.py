@@ -4,8 +4,8 @@ A sparse logistic model of hashed word, word-beginning and shape features gives
 of being low in quality and of being toxic; it is fitted on a bounded sample of labelled documents. Grouped
 aggregation then sums, for each path and each host, the known labels and, for unlabelled documents, the
 model's probabilities. A host's rate is shrunk toward the global rate, a path's toward its host's, by a prior
-strength estimated from the spread of the rates; a document's posterior moves its log odds by what its path
-differs from the global rate.
+strength estimated from the spread of the rates; a document's posterior moves its log odds by what the rest
+of its path differs from the global rate.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +23,12 @@ from narrata.llm.common import columns_of, inverse, kept, map_rows, measured, mi
 
 BITS = 18
 HEADS = ("low", "toxic")
-#: Bound of the fitting sample: labelled documents of each pair of labels, on average.
-SAMPLE_PER_CLASS = 2500
-#: Posteriors over which a document goes.
-LIMITS = {"low": 0.5, "toxic": 0.4}
+#: Bound of the fitting sample: labelled documents of each pair of labels at most.
+SAMPLE_PER_CLASS = 1000
+#: L1 penalties that a fit chooses from.
+PENALTIES = (0.1, 0.4, 1.6)
+#: A document goes if either posterior says that it is more likely bad than not.
+LIMIT = 0.5
 #: Log odds that a site may add or take away at most: a site is evidence, not a verdict.
 SITE_LIMIT = 2.0
 #: Places of a shape's buckets, and of all features.
@@ -52,7 +54,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     back = powers(inverse(_BASE), len(data) + 1)[first]
     found, rows = [], []
     for k, size in enumerate((1 << 30, 4, 5, 6)):
-        longer = last - first >= min(size, 4)
+        longer = last - first > (0 if k == 0 else size)
         end = np.minimum(last, first + size)
         found.append((mix((total[end] - total[first]) * back + np.uint64(k + 1)) >> np.uint64(64 - BITS)).astype(np.int64)[longer])
         rows.append(row[longer])
@@ -96,16 +98,67 @@ class Model:
         return np.stack([np.bincount(row, self.weights[f, k], len(texts)) for k in range(len(HEADS))], 1) + self.bias
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], alpha: float = 0.4, l1: float | None = None, l2: float = 0.2, epochs: int = 6) -> Model:
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], prior: np.ndarray | None = None, l1: float | None = None, alpha: float = 0.4, l2: float = 0.05, steps: int = 24_000) -> Model:
     """FTRL-proximal logistic regression on (features, labels) rows, both heads at once; NaN labels teach nothing.
 
-    The L1 penalty grows with the sample up to 4, which leaves some hundred features with a weight.
+    Both heads may read all features, and read those that their labels bear out (see telling). Without an L1 penalty, the one of PENALTIES with the least loss on every
+    fifth row, which is set aside for that, is taken for each head. prior is the rate of each head among all
+    labelled rows: the sample takes rare labels in full, so the bias moves by the difference in log odds.
     """
-    l1 = min(4.0, len(samples) / 130) if l1 is None else l1
+    epochs = min(60, max(4, steps // len(samples)))
+    rates = np.array([np.nanmean(np.append(y, 0.5)) for y in np.array([y for _, y in samples]).T])
+    if l1 is None:
+        held, rest = samples[::5], [x for k, x in enumerate(samples) if k % 5]
+        loss = np.array([_loss(_ftrl(rest, np.full(len(HEADS), p), alpha, l2, epochs), held) for p in PENALTIES]) if rest else np.zeros((len(PENALTIES), len(HEADS)))
+        penalty = np.array(PENALTIES)[loss.argmin(0)]
+    else:
+        penalty = np.full(len(HEADS), l1)
+    model = _ftrl(samples, penalty, alpha, l2, epochs)
+    if prior is not None:
+        inside = np.clip(rates, 0.01, 0.99), np.clip(prior, 1e-4, 1 - 1e-4)
+        model.bias = model.bias + np.log(inside[1] / (1 - inside[1])) - np.log(inside[0] / (1 - inside[0]))
+    return model
+
+
+def _loss(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Mean log loss by head."""
+    x = np.array([model.weights[f].sum(0) + model.bias for f, _ in rows])
+    y = np.array([y for _, y in rows])
+    return np.nan_to_num(np.nanmean(np.logaddexp(0, x) - y * x, 0)) if np.isfinite(y).any() else np.zeros(len(HEADS))
+
+
+def telling(samples: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Whether each feature tells something of each head.
+
+    The likelihood-ratio statistic of feature and label must be over twice the logarithm of the number of
+    features seen, so that in a sample without any relation less than one feature is expected to pass.
+    """
+    out = np.zeros((FEATURES, len(HEADS)), bool)
+    of = np.concatenate([f for f, _ in samples])
+    seen = np.bincount(of, minlength=FEATURES)
+    bound = 2 * np.log(max(2, (seen > 0).sum()))
+    for h in range(len(HEADS)):
+        known = [(f, y[h]) for f, y in samples if not np.isnan(y[h])]
+        n, k = len(known), sum(y for _, y in known)
+        if not 0 < k < n:
+            continue
+        has = np.bincount(np.concatenate([f for f, _ in known]), minlength=FEATURES).astype(float)
+        bad = np.bincount(np.concatenate([f for f, y in known if y]), minlength=FEATURES).astype(float)
+
+        def part(x: np.ndarray, of: np.ndarray | float, rate: float) -> np.ndarray:
+            return x * np.log(np.maximum(x, 1e-9) / np.maximum(of * rate, 1e-9))
+
+        bad_share, good_share = k / n, 1 - k / n
+        ratio = part(bad, has, bad_share) + part(has - bad, has, good_share) + part(k - bad, n - has, bad_share) + part(n - has - (k - bad), n - has, good_share)
+        out[:, h] = 2 * ratio >= bound
+    return out
+
+
+def _ftrl(samples: list[tuple[np.ndarray, np.ndarray]], l1: np.ndarray, alpha: float, l2: float, epochs: int) -> Model:
     size = FEATURES
-    # The shape tells low quality, the words tell toxicity.
-    reads = np.zeros((size + 1, len(HEADS)))
-    reads[1 << BITS :, 0] = reads[: 1 << BITS, 1] = reads[size, 1] = 1
+    reads = np.concatenate((telling(samples), np.ones((1, len(HEADS)), bool)))
+    used = reads.any(1)
+    samples = [(f[used[f]], y) for f, y in samples]
     z, n = np.zeros((size + 1, len(HEADS))), np.zeros((size + 1, len(HEADS)))
 
     def weights(at) -> np.ndarray:
@@ -121,7 +174,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], alpha: float = 0.4, l1: fl
             at = np.append(f, size)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(0), -30, 30))) - y
-            g = np.where(np.isnan(g), 0.0, g)[None, :] * reads[at]
+            g = np.where(np.isnan(g), 0.0, g) * reads[at]
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
     w = weights(np.arange(size + 1))
@@ -144,33 +197,49 @@ def one_label(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, known: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
-    """The model of labelled documents; None without any. The sample is hashed, so the same on every run."""
+    """The model of labelled documents; None without any.
+
+    The sample is hashed by id and text, so the same on every run, and holds per_class rows of each pair of
+    labels at most; all labelled documents give the prior.
+    """
+    spark = docs.sparkSession
     counts = known.groupBy("low", "toxic").count().collect()
     if not counts:
         return None
+    prior = []
+    for h in HEADS:
+        n = sum(r["count"] for r in counts if r[h] is not None)
+        prior.append((sum(r["count"] for r in counts if r[h]) + 0.5) / (n + 1))
+    # Ids first, by a draw somewhat larger than the bound; then the bound, over rows.
+    share = [((r["low"], r["toxic"]), min(1.0, 1.5 * per_class / r["count"])) for r in counts]
     pick: Column = F.lit(False)
-    for r in counts:
-        pick = pick | (F.col("low").eqNullSafe(r["low"]) & F.col("toxic").eqNullSafe(r["toxic"]) & sampled("doc_id", min(1.0, per_class / r["count"]), 17))
+    for (low, toxic), fraction in share:
+        pick = pick | (F.col("low").eqNullSafe(low) & F.col("toxic").eqNullSafe(toxic) & sampled("doc_id", fraction, 17))
     chosen = kept(known.where(pick))
-    rows = docs.where("text is not null").select("doc_id", "text").join(measured(chosen), "doc_id").select("text", "low", "toxic")
+    rows = docs.where("text is not null").select("doc_id", "text").join(measured(chosen), "doc_id")
+    order = Window.partitionBy("low", "toxic").orderBy(F.xxhash64(F.lit(17), "doc_id", "text"))
+    rows = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_class).select("text", "low", "toxic")
     found = map_rows(rows, _vectors, _VECTOR).collect()
     found.sort(key=lambda r: (bytes(r["features"]), str(r["low"]), str(r["toxic"])))
     nan = float("nan")
     samples = [(np.frombuffer(r["features"], np.int32), np.array([nan if r[h] is None else r[h] for h in HEADS])) for r in found]
-    return fit(samples) if samples else None
+    mixed = np.random.default_rng(5).permutation(len(samples))
+    return fit([samples[k] for k in mixed], np.array(prior)) if samples else None
 
 
-_EVIDENCE = columns_of(("doc_id", T.LongType()), ("hash", T.IntegerType()), ("host", T.StringType()), ("path", T.StringType()), ("e_low", T.DoubleType()), ("e_toxic", T.DoubleType()))
+_EVIDENCE = columns_of(
+    ("doc_id", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("host", T.StringType()), ("path", T.StringType()), ("e_low", T.DoubleType()), ("e_toxic", T.DoubleType())
+)
 
 
 def evidence(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Log odds of each document (doc_id, text, host, path), by its whole text; 0 without a model."""
+    """Log odds of each document (doc_id, text, h1, h2, host, path), by its whole text; 0 without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(rows: dict[str, list]) -> dict[str, object]:
         model = shared.value
         found = model.logits(rows["text"]) if model else np.zeros((len(rows["text"]), len(HEADS)))
-        return {c: rows[c] for c in ("doc_id", "hash", "host", "path")} | {"e_low": found[:, 0], "e_toxic": found[:, 1]}
+        return {c: rows[c] for c in ("doc_id", "h1", "h2", "host", "path")} | {"e_low": found[:, 0], "e_toxic": found[:, 1]}
 
     return map_rows(docs, step, _EVIDENCE)
 
@@ -195,47 +264,59 @@ def _strength(rates: DataFrame, rate: str, n: str, to: str) -> float:
 
 
 def site_rates(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """Posterior rates of every (host, path), and the global ones, from documents' soft labels p_low and p_toxic."""
+    """Sums and prior strengths of every (host, path), and the global rates, from soft labels p_low and p_toxic.
+
+    Per path: n, hn (documents of the path and of its host) and for each head h s_h, h_h (their sums), mh_h and
+    mp_h (strengths of the global rate in a host's, and of a host's in a path's).
+    """
     paths = kept(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p_{h}").alias(f"s_{h}") for h in HEADS)))
     whole = paths.agg(F.sum("n").alias("n"), *(F.sum(f"s_{h}").alias(h) for h in HEADS)).first()
     rate = {h: (whole[h] + 0.5) / (whole["n"] + 1) if whole["n"] else 0.5 for h in HEADS}
     hosts = kept(paths.groupBy("host").agg(F.sum("n").alias("hn"), *(F.sum(f"s_{h}").alias(f"h_{h}") for h in HEADS)))
+    found = kept(paths.join(hosts, "host"))
     for h in HEADS:
-        m = _strength(hosts.select(F.expr(f"h_{h} / hn").alias("r"), F.col("hn").alias("n"), F.lit(rate[h]).alias("g")), "r", "n", "g")
-        hosts = hosts.withColumn(f"r_{h}", (F.col(f"h_{h}") + m * rate[h]) / (F.col("hn") + m))
-    paths = kept(paths.join(hosts.select("host", *(f"r_{h}" for h in HEADS)), "host"))
-    for h in HEADS:
-        m = _strength(paths.select(F.expr(f"s_{h} / n").alias("r"), "n", F.col(f"r_{h}").alias("g")), "r", "n", "g")
-        paths = paths.withColumn(f"site_{h}", (F.col(f"s_{h}") + m * F.col(f"r_{h}")) / (F.col("n") + m))
-    return kept(paths.select("host", "path", *(f"site_{h}" for h in HEADS))), rate
+        of_host = _strength(hosts.select(F.expr(f"h_{h} / hn").alias("r"), F.col("hn").alias("n"), F.lit(rate[h]).alias("g")), "r", "n", "g")
+        shrunk = (F.col(f"h_{h}") + of_host * rate[h]) / (F.col("hn") + of_host)
+        of_path = _strength(found.select(F.expr(f"s_{h} / n").alias("r"), "n", shrunk.alias("g")), "r", "n", "g")
+        found = found.withColumns({f"mh_{h}": F.lit(of_host), f"mp_{h}": F.lit(of_path)})
+    return kept(found), rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """Per row of docs: doc_id, hash (of the text), p_low, p_toxic, site_low, site_toxic, keep.
+def site_rate(head: str, rate: float, own: Column | float = 0.0, one: int = 0) -> Column:
+    """The rate of a path shrunk toward its host's, and that toward the global one; own is left out of both sums."""
+    host = (F.col(f"h_{head}") - own + F.col(f"mh_{head}") * rate) / (F.col("hn") - one + F.col(f"mh_{head}"))
+    return (F.col(f"s_{head}") - own + F.col(f"mp_{head}") * host) / (F.col("n") - one + F.col(f"mp_{head}"))
 
-    host and path name a site and a part of it; a null is a site of its own. A document goes (keep is false)
-    if either posterior is over its limit. Its own label, if it has one, counts toward its site only. A null
-    or empty text has the evidence of its empty shape. Without labels there is no model and no rate, and
-    everything is kept. Repeated rows give rows of their own. Texts are read whole.
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """Per row of docs: doc_id, h1 and h2 (hashes of the text), p_low, p_toxic, site_low, site_toxic, keep.
+
+    host and path name a site and a part of it; a null is a site of its own. site_h is what the other
+    documents say of a document's path: their labels, or the model's probabilities where they have none,
+    shrunk toward the host's and the global rate; the document itself is left out, so it can't confirm
+    itself, and a site of one row says what the global rate says. A document goes (keep is false) if either
+    posterior is over LIMIT. A null or empty text has the evidence of its empty shape. Without labels there
+    is no model and no rate, and everything is kept. Repeated rows give rows of their own. Texts are read whole.
     """
     ready(docs.sparkSession)
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
-        F.hash("text").alias("hash"),
+        *(F.xxhash64(F.lit(k), "text").alias(f"h{k}") for k in (1, 2)),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
     )
     known = kept(one_label(labels))
-    scored = kept(evidence(own, train(own, known, per_class)))
-    soft = scored.join(measured(known), "doc_id", "left")
-    soft = soft.select("host", "path", *(F.coalesce(F.col(h), 1 / (1 + F.exp(-F.col(f"e_{h}")))).alias(f"p_{h}") for h in HEADS))
+    scored = evidence(own, train(own, known, per_class))
     if known.isEmpty():
         nothing = [F.lit(None).cast("double").alias(c) for c in ("p_low", "p_toxic", "site_low", "site_toxic")]
-        return scored.select("doc_id", "hash", *nothing, F.lit(True).alias("keep"))
-    sites, rate = site_rates(soft)
+        return scored.select("doc_id", "h1", "h2", *nothing, F.lit(True).alias("keep"))
+    soft = {f"p_{h}": F.coalesce(F.col(h), 1 / (1 + F.exp(-F.col(f"e_{h}")))) for h in HEADS}
+    scored = kept(scored.join(measured(known), "doc_id", "left").withColumns(soft).drop(*HEADS))
+    sites, rate = site_rates(scored)
     out = scored.join(F.broadcast(sites) if small(sites, "length(host) + length(path)") else sites, ["host", "path"])
     for h in HEADS:
+        out = out.withColumn(f"site_{h}", site_rate(h, rate[h], F.col(f"p_{h}"), 1))
         move = F.least(F.greatest(_logit(F.col(f"site_{h}")) - _logit(F.lit(rate[h])), F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
         out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"e_{h}") + move))))
-    return out.select("doc_id", "hash", "p_low", "p_toxic", "site_low", "site_toxic", ((F.col("p_low") <= LIMITS["low"]) & (F.col("p_toxic") <= LIMITS["toxic"])).alias("keep"))
+    return out.select("doc_id", "h1", "h2", "p_low", "p_toxic", "site_low", "site_toxic", ((F.col("p_low") <= LIMIT) & (F.col("p_toxic") <= LIMIT)).alias("keep"))

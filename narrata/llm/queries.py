@@ -43,7 +43,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hash").withColumnRenamed("keep", "kept")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h1", "h2").withColumnRenamed("keep", "kept")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

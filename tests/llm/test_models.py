@@ -119,9 +119,68 @@ def test_sparse_sites_shrink_to_the_global_rate(spark):
     rows = [("a", "x", 1.0)] + [("b", "x", float(i % 10 == 0)) for i in range(1000)] + [("c", "x", float(i % 2 == 0)) for i in range(1000)]
     scored = spark.createDataFrame([(h, p, v, 0.0) for h, p, v in rows], "host string, path string, p_low double, p_toxic double")
     found, rate = quality.site_rates(scored)
-    site = {r["host"]: r["site_low"] for r in found.collect()}
+    site = {r["host"]: r["r"] for r in found.select("host", quality.site_rate("low", rate["low"]).alias("r")).collect()}
     assert abs(site["b"] - 0.1) < 0.02 and abs(site["c"] - 0.5) < 0.02
     assert rate["low"] < site["a"] < 0.9
+    alone = found.where("host = 'a'").select(quality.site_rate("low", rate["low"], F.lit(1.0), 1).alias("r")).first()["r"]
+    assert abs(alone - rate["low"]) < 1e-9  # a site of one row says nothing about that row
+
+
+def test_posteriors_equal_brute_force(spark):
+    """Rates of hosts and paths without the row itself, shrunk by prior strengths from moments, moving the log odds."""
+    docs, labels = judged(spark, 240)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en"))
+    rows = docs.collect()
+    known = {x["doc_id"]: {"low": 1.0 - x["quality"], "toxic": float(x["toxic"])} for x in labels.where("doc_id % 2 = 0").collect()}
+    model = quality.train(docs.select("doc_id", "text"), quality.one_label(labels.where("doc_id % 2 = 0")))
+    odds = model.logits([x["text"] for x in rows])
+    got = {x["doc_id"]: x for x in quality.classify(docs, labels.where("doc_id % 2 = 0")).collect()}
+    assert len(got) == 240
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+
+    def strength(sums, counts, toward):
+        sums, n, g = (np.array(x, float) for x in (sums, counts, toward))
+        between = max(0.0, ((n * (sums / n - g) ** 2).sum() - (g * (1 - g)).sum()) / n.sum())
+        return min(1e4, max(1.0, (n * g * (1 - g)).sum() / n.sum() / between - 1)) if between else 1e4
+
+    for k, h in enumerate(quality.HEADS):
+        p = np.array([known[x["doc_id"]][h] if x["doc_id"] in known else 1 / (1 + np.exp(-odds[i, k])) for i, x in enumerate(rows)])
+        rate = (p.sum() + 0.5) / (len(p) + 1)
+        host, path = np.array([x["source"] for x in rows]), np.array([x["source"] + "/" + x["lang"] for x in rows])
+        hosts, paths = sorted(set(host)), sorted(set(path))
+        mh = strength([p[host == a].sum() for a in hosts], [(host == a).sum() for a in hosts], [rate] * len(hosts))
+        shrunk = {a: (p[host == a].sum() + mh * rate) / ((host == a).sum() + mh) for a in hosts}
+        mp = strength([p[path == a].sum() for a in paths], [(path == a).sum() for a in paths], [shrunk[a.split("/")[0]] for a in paths])
+        for i, x in enumerate(rows):
+            a, b = host == host[i], path == path[i]
+            a[i] = b[i] = False
+            site = (p[b].sum() + mp * (p[a].sum() + mh * rate) / (a.sum() + mh)) / (b.sum() + mp)
+            move = np.clip(logit(site) - logit(rate), -quality.SITE_LIMIT, quality.SITE_LIMIT)
+            found = got[x["doc_id"]]
+            assert abs(found[f"site_{h}"] - site) < 1e-6
+            assert abs(found[f"p_{h}"] - 1 / (1 + np.exp(-(odds[i, k] + move)))) < 1e-5
+
+
+def test_short_toxic_words_and_wordy_spam(spark):
+    """A toxic word of three letters, and adverts of ordinary shape, are told by words alone."""
+    r = np.random.default_rng(6)
+    words = [f"word{k}" for k in range(400)]
+    spam = ["casino", "bonus", "cheap", "offer", "click"]
+    docs, labels = [], []
+    for i in range(600):
+        w = [str(x) for x in r.choice(words, 80)]
+        toxic, low = int(i % 6 == 0), int(i % 6 == 3)
+        for bad, wanted in ((["fuk", "dum"], toxic), (spam, low)):
+            for at in r.choice(80, 4, replace=False) if wanted else ():
+                w[at] = str(r.choice(bad))
+        docs.append((i, " ".join(w).capitalize() + ".", f"s{i % 5}", "en"))
+        labels.append((i, 1 - low, toxic))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["keep"] for x in quality.classify(docs, labels.where("doc_id % 5 <> 1")).collect()}
+    held = [i for i in got if i % 5 == 1]
+    assert sum(not got[i] for i in held if i % 3 == 0) >= 0.9 * sum(i % 3 == 0 for i in held)
+    assert sum(got[i] for i in held if i % 3) >= 0.98 * sum(i % 3 > 0 for i in held)
 
 
 def test_quality_edges(spark):
