@@ -8,10 +8,13 @@
    that obeys the triangle inequality, and the grey zone is wide enough for it: two members that the pruning
    of step 3 would let pass end up in one family, or go on together. What goes on after PEELS rounds makes
    families as it is, bucket by bucket.
-3. In each family, blocks of members are compared with blocks. Signatures are compared batch by batch: after
-   each batch a pair goes on only if the posterior probability of a similarity at or above the threshold,
-   given the hashes agreed so far, is at least the chosen miss probability. Survivors, most similar first, are
-   verified on their full sets, unless the links found in the block connect them already.
+3. Members of a family are compared in blocks. Signatures are compared batch by batch: after each batch a pair
+   goes on only if the posterior probability of a similarity at or above the threshold, given the hashes agreed
+   so far, is at least the chosen miss probability. Survivors, most similar first, are verified on their full
+   sets, unless the links found in the block connect them already. First each block is compared in itself and
+   with REPRESENTATIVES members that are sent to all blocks of the family; that links most of a family of near
+   copies, and each set is sent once. Then the members that aren't linked to the family's largest part, and
+   they alone, are compared with the other blocks.
 4. Links give components.
 
 No pair is formed for identical sets, no bucket or family is collected into one task, and nothing is capped.
@@ -42,8 +45,8 @@ BATCH = 32
 STAY = 0.62
 #: Rounds in which buckets are parted by agreement.
 PEELS = 2
-#: Members in a block.
-BLOCK = 384
+#: Members in a block, and members that all blocks of a family are compared with first.
+BLOCK, REPRESENTATIVES = 384, 8
 
 _SEED = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -130,12 +133,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def compare(sigs: np.ndarray, sets: list[np.ndarray], split: int, percent: int, miss: float) -> list[tuple[int, int]]:
+def compare(sigs: np.ndarray, sets: list[np.ndarray], split: int, percent: int, miss: float, parts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links between members [0, split) and [split, n), or among all if split is 0, that connect what is linked.
 
-    Links between members that other links here connect already are left out.
+    Links between members that other links here connect already, or that are of one part, are left out.
     """
     n, found, joined = len(sets), [], Sets(len(sets))
+    first: dict[int, int] = {}
+    for i, part in enumerate(parts or ()):
+        joined.join(i, first.setdefault(part, i))
     bounds = least_agreeing(percent / 100, miss)
     rows = range(split) if split else range(n)
     pairs: list[tuple[int, int, int]] = []
@@ -228,12 +234,16 @@ def _families(nodes: DataFrame, percent: int, miss: float) -> DataFrame:
     return components(edges)
 
 
-_MEMBER = columns_of(("family", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("side", T.IntegerType()), ("node", T.LongType()), ("found", T.BinaryType()))
+#: Where a member's set goes: a comparison (family, block, chunk), its side there, and the part it is linked to.
+_PLACE = ("family", "block", "chunk", "side", "part")
+_MEMBER = columns_of(
+    ("family", T.LongType()), ("block", T.IntegerType()), ("chunk", T.IntegerType()), ("side", T.IntegerType()), ("part", T.LongType()), ("node", T.LongType()), ("found", T.BinaryType())
+)
 _LINK = columns_of(("a", T.LongType()), ("b", T.LongType()))
 
 
 def _spread(words: int):
-    """For each member, one row for every pair of blocks that its block is in, with its full set."""
+    """For each member, its full set once for every place it goes to."""
     schema = arrow_schema(_MEMBER)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +252,9 @@ def _spread(words: int):
             for lo, hi in cuts(columns["text"], batch.num_rows):
                 out: list[tuple] = []
                 for row, found in enumerate(shingles(columns["text"][lo:hi], words), lo):
-                    own, many = columns["block"][row], columns["blocks"][row]
                     raw = found.tobytes()
-                    for other in range(many):
-                        i, j = min(own, other), max(own, other)
-                        out.append((columns["family"][row], i, j, int(own == j), columns["node"][row], raw))
+                    for place in columns["places"][row]:
+                        out.append((*(place[k] for k in _PLACE), columns["node"][row], raw))
                         if len(out) >= 2000:
                             yield _batch(out, schema)
                             out = []
@@ -264,18 +272,54 @@ def _verify(percent: int, miss: float):
     schema = arrow_schema(_LINK)
 
     def run(members: pa.Table) -> pa.Table:
-        i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
-        node, side = members.column("node").to_pylist(), members.column("side").to_pylist()
+        node, side, part = (members.column(c).to_pylist() for c in ("node", "side", "part"))
         order = sorted(range(len(node)), key=lambda k: (side[k], node[k]))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.column("found")]
-        sets, node = [sets[k] for k in order], [node[k] for k in order]
-        split = 0 if i == j else side.count(0)
-        links = [] if i != j and split in (0, len(node)) else compare(np.array([signature(s) for s in sets]), sets, split, percent, miss)
+        sets, node, part = [sets[k] for k in order], [node[k] for k in order], [part[k] for k in order]
+        two = members.column("chunk")[0].as_py() >= 0
+        split = side.count(0) if two else 0
+        links = [] if two and split in (0, len(node)) else compare(np.array([signature(s) for s in sets]), sets, split, percent, miss, part)
         return pa.Table.from_arrays([pa.array([node[a] for a, _ in links], pa.int64()), pa.array([node[b] for _, b in links], pa.int64())], schema=schema)
 
     return run
 
 
+def _links(texts: DataFrame, places: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    """The links found by the comparisons that places (node, and where its set goes) describe."""
+    sent = places.groupBy("node").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
+    spread = texts.join(measured(kept(sent), "28 * size(places)"), F.col("doc_id") == F.col("node")).mapInArrow(_spread(words), _MEMBER)
+    return kept(spread.groupBy("family", "block", "chunk").applyInArrow(_verify(percent, miss), _LINK))
+
+
+def _family_links(texts: DataFrame, grouped: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) that connect what is linked in each family of grouped (node, family)."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    sizes = kept(grouped.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    placed = kept(grouped.join(measured(sizes), "family").withColumn("block", block))
+
+    def place(rows: DataFrame, chunk: F.Column, side: int, part: F.Column) -> DataFrame:
+        return rows.select("node", "family", "block", chunk.cast("int").alias("chunk"), F.lit(side).alias("side"), part.cast("long").alias("part"))
+
+    # Each block in itself, and with the representatives of the family.
+    slots = placed.where("blocks > 1").groupBy("family", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(REPRESENTATIVES))).agg(F.min("node").alias("node"))
+    others = slots.withColumn("home", block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
+    alone = [place(rows, F.lit(-1), 0, F.col("node")) for rows in (placed, others)]
+    first = _links(texts, alone[0].unionByName(alone[1]), words, percent, miss)
+    wide = placed.where("blocks > 1")
+    if wide.isEmpty():
+        return first
+    # Members outside the family's largest part, with all blocks but their own.
+    parts = kept(wide.join(measured(kept(components(first))), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+    counts = parts.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = kept(counts.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0"))
+    marked = kept(parts.join(measured(largest), "family").withColumn("chunks", F.ceil(F.col("left") / BLOCK).cast("int")))
+    open_ = marked.where("part <> main").withColumns({"home": F.col("block"), "chunk": F.pmod(F.xxhash64(F.lit(5), "node"), F.col("chunks"))})
+    asking = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
+    asked = marked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    second = _links(texts, place(asking, F.col("chunk"), 0, F.col("part")).unionByName(place(asked, F.col("chunk"), 1, F.col("part"))), words, percent, miss)
+    return first.unionByName(second)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """Per row of docs (columns doc_id and text): doc_id, n_shingles, component_id, kept.
 
@@ -293,10 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     families = _families(nodes.select("node", "sig"), percent, miss)
     heads = families.select(F.col("component").alias("node"), "component").distinct()
     grouped = kept(families.unionByName(heads).withColumnRenamed("component", "family"))
-    sizes = grouped.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = kept(grouped.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    spread = texts.join(measured(placed), F.col("doc_id") == F.col("node")).mapInArrow(_spread(words), _MEMBER)
-    links = spread.groupBy("family", "i", "j").applyInArrow(_verify(percent, miss), _LINK)
+    links = _family_links(texts, grouped, words, percent, miss)
     classes = kept(signed.select("doc_id", "n_shingles", "s1", "s2").join(measured(nodes.select("s1", "s2", "node")), ["s1", "s2"], "left"))
     # Rows of one doc_id with different texts: their classes belong together.
     torn = classes.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")

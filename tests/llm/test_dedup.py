@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from narrata.llm import components, neardup, oracle, queries, substring
+from narrata.llm import common, components, neardup, oracle, queries, substring
 from narrata.llm.common import hash_words, sha
 from tests import oracle as sql
 
@@ -178,9 +178,11 @@ def family(r, n, changes, length=80):
     return out
 
 
-@pytest.mark.parametrize(("seed", "words", "percent"), [(1, 3, 85), (2, 5, 80), (3, 1, 90)])
-def test_components_equal_brute_force(spark, seed, words, percent, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 40)
+@pytest.mark.parametrize(("seed", "words", "percent", "block", "broadcast"), [(1, 3, 85, 40, True), (2, 5, 80, 15, True), (3, 1, 90, 40, True), (4, 3, 85, 12, False)])
+def test_components_equal_brute_force(spark, seed, words, percent, block, broadcast, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     r = random.Random(seed)
     texts = family(r, 150, 9) + family(r, 40, 4) + family(r, 3, 1, 6) + ["a b", "A  B", "b a", "one", None, "", " "]
     rows = list(enumerate(texts)) + [(5, texts[5]), (7, texts[160]), (None, texts[0]), (None, "one")]
@@ -189,6 +191,24 @@ def test_components_equal_brute_force(spark, seed, words, percent, monkeypatch):
     assert sorted((-1 if x[0] is None else x[0], x[1], -1 if x[2] is None else x[2], x[3]) for x in map(tuple, found)) == components_by_hand(rows, words, percent)
 
 
+def test_sets_of_a_family_are_sent_about_once(spark, monkeypatch):
+    """Near copies in 30 blocks: each set goes to its block, and a few representatives to all."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    sent, links = [], neardup._links
+
+    def counted(texts, places, *rest):
+        sent.append(places.count())
+        return links(texts, places, *rest)
+
+    monkeypatch.setattr(neardup, "_links", counted)
+    r = random.Random(4)
+    rows = list(enumerate(family(r, 1200, 1, 200)))
+    found = neardup.near_duplicates(documents(spark, rows).repartition(6), 3, 85)
+    assert found.where("kept").count() == 1
+    blocks = -(-1200 // 40)
+    assert sum(sent) <= 1200 + (blocks + 1) * neardup.REPRESENTATIVES
+
+
 def test_nothing_to_link(spark):
     assert neardup.near_duplicates(documents(spark, [(1, "x")]).where("false")).count() == 0
     assert sorted(tuple(r) for r in neardup.near_duplicates(documents(spark, [(1, None), (2, ""), (3, "only this text")])).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True)]
