@@ -30,9 +30,15 @@ def sha(data: bytes) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder where the cluster has named none (tests)."""
+    """Small Arrow batches for the session (texts may be long), and a folder for intermediate tables.
+
+    A local session that names no spark.checkpoint.dir gets a temporary folder. On a cluster there is no
+    folder that all executors are known to share unless it is named, so that raises an error.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not shared_dir(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -57,12 +63,24 @@ def kept(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ready(spark)
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    path = scratch(spark, "kept")
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes what is at the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -70,8 +88,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def _forget() -> None:
     for spark, path in _WRITTEN:
         with contextlib.suppress(Exception):  # the context may have ended
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            forget(spark, path)
 
 
 def small(df: DataFrame, row_bytes: str = "0") -> bool:
