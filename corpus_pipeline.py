@@ -6,21 +6,21 @@ Each stage is a function of (spark, docs, sf_dir). All but the last return the c
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm import bpe_codec, decontam, neardup, quality, substring
-from narrata.llm.common import kept, measured, ready, shared_dir, table
+from narrata.llm.common import forget, kept, measured, ready, scratch, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    gone = measured(kept(found.where("not keep").select("doc_id", "hash").distinct()))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.hash(docs["text"]) == gone["hash"]), "left_anti")
+    gone = measured(kept(found.where("not keep").select("doc_id", "h1", "h2").distinct()))
+    same = [F.xxhash64(F.lit(k), docs["text"]) == gone[f"h{k}"] for k in (1, 2)]
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & same[0] & same[1], "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,13 +95,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared checkpoint folder and read again."""
+    """All stages over documents, each written as Parquet to the shared checkpoint folder and read again.
+
+    A stage's rows are removed when the next one's are written, the last one's when the application ends.
+    """
     ready(spark)
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        at = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            forget(spark, before)
+        before = at
     return docs
 
 
