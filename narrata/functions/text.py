@@ -49,6 +49,31 @@ def redaction_counts(text: Column, rules=TEXT_RULES) -> dict[str, Column]:
     return out
 
 
+def _offset_step(rule: str):
+    def step(so_far: Column, pair: Column) -> Column:
+        begin = so_far["at"] + F.length(pair["rest"])
+        end = begin + F.length(pair["found"])
+        return F.struct(end.alias("at"), F.array_append(so_far["seen"], F.struct(F.lit(rule).alias("rule"), begin.alias("start"), end.alias("end"))).alias("seen"))
+
+    return step
+
+
+def redaction_offsets(text: Column, rules=TEXT_RULES) -> Column:
+    """array<struct<rule, start, end>>: where each rule, in the text that the one before left, finds a match.
+
+    Offsets count characters from 0. They are sums of the lengths of the matches and of what is between them.
+    """
+    out = F.array().cast("array<struct<rule: string, start: int, end: int>>")
+    for name, pattern, marker in rules:
+        found, rest = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)), F.split(text, f"(?i){pattern}", -1)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<rule: string, start: int, end: int>>").alias("seen"))
+
+        pairs = F.arrays_zip(found.alias("found"), F.slice(rest, F.lit(1), F.size(found)).alias("rest"))
+        out = F.concat(out, F.aggregate(pairs, start, _offset_step(name), lambda x: x["seen"]))
+        text = F.regexp_replace(text, f"(?i){pattern}", marker)
+    return out
+
+
 def redact_url(url: Column) -> Column:
     """The values of secret parameters of a URL, replaced."""
     return F.regexp_replace(url, rf"(?i)([?&])({'|'.join(SECRET_PARAMETERS)})=([^&\s]+)", f"$1$2={REDACTED}")

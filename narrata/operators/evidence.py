@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from narrata.functions import text
 
 
-def sample_rows(df: DataFrame, group: str, order: list[str], most: int, how: str = "first_only") -> DataFrame:
+def sample_rows(df: DataFrame, group: str, order: list[str], most: int, how: str = "first_only", max_cols: int | None = None) -> DataFrame:
     """Rows of each group in a sample of at most most: first_only, first_last (half and half) or stride.
 
+    max_cols keeps the first columns only.
+
     A half of no rows means all rows for the last half, as a slice from -0 does.
     """
     if how not in ("first_only", "first_last", "stride"):
@@ -25,7 +27,7 @@ def sample_rows(df: DataFrame, group: str, order: list[str], most: int, how: str
     else:
         stride = F.greatest(F.floor(F.col("_n") / most), F.lit(1))
         hit = ((F.col("_i") - 1) % stride == 0) & ((F.col("_i") - 1) < stride * most)
-    return rows.where((F.col("_n") <= most) | hit).drop("_i", "_n")
+    return rows.where((F.col("_n") <= most) | hit).select(*(df.columns if max_cols is None else df.columns[:max_cols]))
 
 
 def bound_bundles(items: DataFrame, bundle: str, order: list[str], size: str, max_items: int = 50, max_bytes: int = 100_000) -> DataFrame:

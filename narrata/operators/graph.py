@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.operators.relational import few
+from narrata.sources.shared import kept
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -54,48 +58,110 @@ def discover(records: DataFrame, targets: Column, kind: str, step: int = 10, max
     ).where(F.col("resource_id").isNotNull())
 
 
+def discover_cited(works: DataFrame, entities: DataFrame, identifiers: DataFrame | None = None, max_depth: int = 1) -> DataFrame:
+    """Work items for what the works (work_id, title, concepts, identifier, refs, depth, priority) cite.
+
+    Only works above the depth limit that name a known entity lead on; a cited work is one deeper.
+    """
+    open_ = works.where(F.col("depth") < max_depth)
+    matched = open_.join(match_entities(open_, entities, identifiers), "work_id", "left_semi")
+    return discover(matched.withColumn("resource_id", F.col("work_id")), F.col("refs"), "work", 10, max_depth)
+
+
 def clean_identifier(x: Column) -> Column:
     """A DOI without its resolver, or the last segment of an identifier's address."""
     bare = F.regexp_replace(x, r"(?i)^https?://(dx\.)?doi\.org/", "")
     return F.when(bare != x, bare).otherwise(F.element_at(F.split(x, "/"), -1))
 
 
+#: Bytes of entity names that are searched for at once.
+NAMES_BYTES = 8 << 20
+
+
 def match_entities(works: DataFrame, entities: DataFrame, identifiers: DataFrame | None = None, case_sensitive: bool = False) -> DataFrame:
     """Works (work_id, title, concepts, identifier) that name a known entity (entity).
 
     An identifier matches exactly, a title by containing an entity, a concept by being one. Identifiers and
-    concepts are semi-joins; the title's test is a nested loop with the entities, meant for few of them.
+    concepts are semi-joins. Titles are read once for each NAMES_BYTES of names, by a machine that looks for
+    all of them together; so the work grows with the titles, not with titles times names. Null and empty
+    names match nothing.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
-    names = few(entities.select(fold(F.col("entity")).alias("entity")).where("entity IS NOT NULL").distinct())
-    by_title = works.join(names, F.contains(fold(F.col("title")), F.col("entity")), "left_semi").select("work_id")
+    names = kept(entities.select(fold(F.col("entity")).alias("entity")).where("entity <> ''").distinct(), "names")
+    titles = works.select("work_id", fold(F.col("title")).alias("title")).where("title IS NOT NULL")
     spread = works.select("work_id", F.explode("concepts").alias("concept")).select("work_id", fold(F.col("concept")).alias("entity"))
-    found = by_title.unionByName(spread.join(names, "entity", "left_semi").select("work_id"))
+    found = spread.join(few(names, "octet_length(entity)"), "entity", "left_semi").select("work_id")
+    for shard in _shards(names):
+        found = found.unionByName(_containing(titles, shard))
     if identifiers is not None:
-        found = found.unionByName(works.join(identifiers, "identifier", "left_semi").select("work_id"))
+        found = found.unionByName(works.join(few(identifiers, "octet_length(identifier)"), "identifier", "left_semi").select("work_id"))
     return found.distinct()
 
 
+def _shards(names: DataFrame) -> Iterator[list[str]]:
+    """The names in lists of NAMES_BYTES or so."""
+    total = names.agg(F.sum(F.octet_length("entity") + 16)).first()[0] or 0
+    n = -(-total * 2 // NAMES_BYTES) if total > NAMES_BYTES else 1
+    for k in range(n if total else 0):
+        yield [r["entity"] for r in names.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == k).collect()]
+
+
+def _containing(titles: DataFrame, names: list[str]) -> DataFrame:
+    """The work_id of titles that contain any of the names."""
+    shared = titles.sparkSession.sparkContext.broadcast(names)
+    machines: dict[int, object] = {}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        if 0 not in machines:
+            machines[0] = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for name in shared.value:
+                machines[0].add_word(name)
+            machines[0].make_automaton()
+        for batch in batches:
+            hit = [next(machines[0].iter(t), None) is not None for t in batch.column("title").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("work_id").filter(pa.array(hit, pa.bool_()))], ["work_id"])
+
+    return titles.mapInArrow(run, titles.select("work_id").schema)
+
+
 def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of the nodes within max_depth links of the seeds, each at its least depth.
 
-    One join for each level; what is known is left out by an anti-join, so no node is expanded twice.
+    One join for each level, written to the shared folder, so no level plans the earlier ones again; what is
+    known is left out by an anti-join, so no node is expanded twice. A level without new nodes ends it.
     """
-    known = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = known
+    known = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "crawl")
+    frontier, levels = known, known
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(edges, frontier["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = reached.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        known = known.unionByName(frontier)
-    return known
-
-
-def closure(children: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(node, ancestor, distance) of a hierarchy (node, parent): every node, its ancestors and itself."""
-    step = children.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    out = step
-    parents = children.where("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("above"))
-    for _ in range(max_depth):
-        step = step.join(parents, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        out = out.unionByName(step)
-    return out
+        reached = edges.join(few(frontier.select(F.col("node").alias("source"))), "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        frontier = kept(reached.join(levels.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "crawl")
+        if frontier.isEmpty():
+            break
+        levels = levels.unionByName(frontier)
+    return levels
+
+
+def closure(children: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) of a hierarchy (node, parent): every node, its ancestors and itself.
+
+    Distances double from round to round: the ancestors at up to twice the distance are the ancestors of
+    ancestors, so a hierarchy of depth d takes about log2(d) rounds, each written to the shared folder. A node
+    that is its own ancestor raises an error. Null nodes drop out; several parents give several ancestors,
+    each at its least distance.
+    """
+    rows = children.where("node IS NOT NULL")
+    pairs = kept(rows.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct(), "closure")
+    n = pairs.count()
+    while n:
+        further = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
+        longer = pairs.join(further, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        pairs = kept(pairs.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "closure")
+        if not pairs.where("node = ancestor").isEmpty():
+            raise ValueError("the hierarchy has a cycle")
+        before, n = n, pairs.count()
+        if n == before:
+            break
+    own = rows.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    return own.unionByName(pairs)

@@ -81,3 +81,59 @@ def run_metrics(jobs: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.count_if(F.col("status") == "SUCCEEDED"), F.count_if(F.col("status").isin("SUCCEEDED", "DEADLETTER"))), 6).alias("success_rate"),
         F.round(F.avg("attempt_count"), 6).alias("mean_attempts"),
     )
+
+
+def new_jobs(requests: DataFrame, now: Column, priority: int = 100, max_attempts: int = 3) -> DataFrame:
+    """Job rows of requests (job_id, job_type, payload, and priority where given): new, due now, never tried."""
+    given = F.col("priority") if "priority" in requests.columns else F.lit(None).cast("int")
+    return requests.select(
+        "job_id",
+        "job_type",
+        "payload",
+        F.lit("NEW").alias("status"),
+        F.coalesce(given, F.lit(priority)).alias("priority"),
+        F.lit(0).alias("attempt_count"),
+        F.lit(max_attempts).alias("max_attempts"),
+        now.alias("available_utc"),
+        now.alias("created_utc"),
+    )
+
+
+def start_runs(claimed: DataFrame, now: Column) -> DataFrame:
+    """A run for each claimed job: named by the job and the attempt, running since now."""
+    run_id = F.concat_ws(":", F.col("job_id").cast("string"), F.col("attempt_count").cast("string"))
+    return claimed.select(run_id.alias("run_id"), "job_id", F.lit("RUNNING").alias("status"), now.alias("started_utc"), F.lit(None).cast("timestamp_ntz").alias("completed_utc"), F.lit(None).cast("string").alias("error"))
+
+
+def end_runs(runs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The runs after outcomes (run_id, outcome, message): those that ended have their status, time and, if they failed, error.
+
+    A run that has ended stays as it is; of several outcomes of a run the worst counts (FAILED before SUCCEEDED).
+    """
+    last = outcomes.groupBy("run_id").agg(F.min_by(F.struct("outcome", "message"), F.struct("outcome", "message")).alias("o"))
+    ends = (F.col("status") == "RUNNING") & F.col("o").isNotNull()
+    return runs.join(last, "run_id", "left").select(
+        "run_id",
+        "job_id",
+        F.when(ends, F.col("o.outcome")).otherwise(F.col("status")).alias("status"),
+        "started_utc",
+        F.when(ends, now).otherwise(F.col("completed_utc")).alias("completed_utc"),
+        F.when(ends & (F.col("o.outcome") == "FAILED"), F.col("o.message")).otherwise(F.col("error")).alias("error"),
+    )
+
+
+def list_jobs(jobs: DataFrame, n: int = 20, status: str | None = None, job_type: str | None = None) -> DataFrame:
+    """The n newest jobs of a status and type (None: any)."""
+    return known_resources(jobs, status=status, job_type=job_type).orderBy(F.desc("created_utc"), "job_id").limit(n)
+
+
+def inspect_jobs(jobs: DataFrame, now: Column, stuck_after: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """By status: jobs, the oldest one, mean attempts, those without attempts left, and those that run too long."""
+    late = (F.col("status") == "RUNNING") & (F.col("available_utc") < now - F.expr(stuck_after))
+    return jobs.groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("created_utc").alias("oldest"),
+        F.round(F.avg("attempt_count"), 6).alias("mean_attempts"),
+        F.count_if(F.col("attempt_count") >= F.col("max_attempts")).alias("exhausted"),
+        F.count_if(late).alias("stuck"),
+    )

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast.
-FEW = 100_000
+#: Rows, and bytes, up to which a side is broadcast.
+FEW, FEW_BYTES = 100_000, 32 << 20
 
 
-def few(df: DataFrame, bound: int = FEW) -> DataFrame:
-    """The frame with a broadcast hint if it has at most bound rows; else as it is, for Spark to plan."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def few(df: DataFrame, row_bytes: str = "0") -> DataFrame:
+    """The frame with a broadcast hint if it has few rows and bytes; else as it is, for Spark to plan.
+
+    row_bytes is SQL for the bytes of a row's texts and arrays.
+    """
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.expr(row_bytes).cast("long") + 32)).first()
+    return F.broadcast(df) if n <= FEW and (size or 0) <= FEW_BYTES else df
 
 
 def most_of_group(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -99,7 +99,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, threshold: float =
                     places = np.take_along_axis(rounded, top, 1)[x, y]
                     yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_at[x])), c_ids.take(pa.array(at[top[x, y]])), pa.array(found[x, y]), pa.array(places)], ["query_id", "chunk_id", "score", "_places"])
 
-    asked = few(packed(queries, "query_id").withColumnRenamed("vector", "_q"), 1000)
+    asked = few(packed(queries, "query_id").withColumnRenamed("vector", "_q"), "aggregate(_q, 0L, (n, x) -> n + 8L * coalesce(size(x), 0))")
     blocks = packed(candidates, "chunk_id").repartition(4 * candidates.sparkSession.sparkContext.defaultParallelism)
     pairs = blocks.crossJoin(asked).select("query_id", "_q", "chunk_id", "vector")
     kinds = [("query_id", queries.schema["query_id"].dataType), ("chunk_id", candidates.schema["chunk_id"].dataType), ("score", T.DoubleType()), ("_places", T.DoubleType())]

@@ -48,3 +48,29 @@ def load_order(parents: dict[str, set[str]]) -> list[str]:
     for name in sorted(parents):
         put(name, ())
     return out
+
+
+def without_guid(rows: DataFrame, guid: str, natural_key: list[str]) -> DataFrame:
+    """Rows that have no guid and can't be given one, since a part of their natural key is missing."""
+    missing = F.lit(not natural_key)
+    for column in natural_key:
+        missing = missing | F.col(column).isNull()
+    return rows.where((F.col(guid).isNull() if guid in rows.columns else F.lit(True)) & missing)
+
+
+def load(tables: dict[str, DataFrame], keys: dict[str, str], references: dict[str, dict[str, str]]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(loaded, refused) rows of each table, in an order in which a table comes after those it refers to.
+
+    keys names each table's key, references the table that each foreign key column refers to. A row is refused
+    if a foreign key (that isn't null) is not among the loaded rows of its table; a reference of a table to
+    itself is checked against the table as given.
+    """
+    out: dict[str, tuple[DataFrame, DataFrame]] = {}
+    for name in load_order({t: set(references.get(t, {}).values()) for t in tables}):
+        rows = tables[name]
+        good = rows
+        for column, parent in references.get(name, {}).items():
+            known = (rows if parent == name else out[parent][0]).select(F.col(keys[parent]).alias("_known")).distinct()
+            good = good.join(known, F.col(column) == F.col("_known"), "left").where(F.col(column).isNull() | F.col("_known").isNotNull()).drop("_known")
+        out[name] = good, rows.join(good.select(keys[name]), keys[name], "left_anti")
+    return out

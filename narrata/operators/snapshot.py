@@ -70,3 +70,22 @@ def report(plan: DataFrame, exported: DataFrame) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, *key: str) -> DataFrame:
     """target with source's rows in place of those of the same key: a merge for tables without one."""
     return target.join(source.select(*key).distinct(), list(key), "left_anti").unionByName(source)
+
+
+def corrupt(records: DataFrame, content: Column, stored: str = "content_sha256") -> DataFrame:
+    """The records whose stored hash isn't that of their content; a missing hash is wrong too."""
+    return records.where(~F.col(stored).eqNullSafe(F.sha2(content, 256)))
+
+
+def sync_report(json_side: DataFrame, sql_side: DataFrame, strategy: str = "prefer_newest", dry_run: bool = False) -> DataFrame:
+    """One row of a two-way sync: records of either side before, what the import does, what the export adds.
+
+    The import comes first; the export then writes what the SQL side has and the JSON side hasn't. In a dry
+    run nothing is imported, so exports are counted on the SQL side as it is.
+    """
+    plan = import_plan(json_side, sql_side, strategy)
+    after = sql_side if dry_run else apply_import(plan, sql_side)
+    one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
+    actions = plan.agg(*(F.count_if(F.col("action") == a).alias(n) for a, n in (("insert", "inserted"), ("update", "updated"), ("keep", "kept"), ("skip", "skipped"), ("failed", "failed"))))
+    out = one(json_side, "json_records").crossJoin(one(sql_side, "sql_records")).crossJoin(actions)
+    return out.crossJoin(one(to_export(after, json_side), "exported")).withColumn("dry_run", F.lit(dry_run))

@@ -56,7 +56,7 @@ PEOPLE = ("left", "learn_event_participants p", "e.EventKey = p.EventKey")
 LESSONS: dict[str, Ask] = {
     # 1: characters
     "L01_1": Ask(C, order="CharacterName, CharacterKey", limit=10),
-    "L01_2": Ask(C, names("CharacterName", "Species", "Gender", "RoleArchetype", "Homeworld"), "Species = 'Building'", order="CharacterName"),
+    "L01_2": Ask(C, names("CharacterName", "Species", "Gender", "RoleArchetype", "Homeworld"), "Species = 'Machinery'", order="CharacterName"),
     "L01_3": Ask(C, names("RoleArchetype"), "RoleArchetype IS NOT NULL", distinct=True, order="RoleArchetype"),
     "L01_4": Ask(C, names("CharacterName", "Species", "Homeworld"), "RoleArchetype = 'Villain'", order="CharacterName"),
     "L01_5": Ask(C, names("CharacterName", "Species", "RoleArchetype", "BirthYear"), "Homeworld = 'World 7'", order="CharacterName"),

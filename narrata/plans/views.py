@@ -223,8 +223,8 @@ def current(df: DataFrame) -> DataFrame:
 class Views:
     """All views over one data folder, planned lazily and at most once each."""
 
-    def __init__(self, spark, sf_dir: str, built: str | None = None):
-        self.tables, self.planned = Warehouse(spark, sf_dir, built), {}
+    def __init__(self, spark, sf_dir: str):
+        self.tables, self.planned = Warehouse(spark, sf_dir), {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.planned:
@@ -241,6 +241,7 @@ class Views:
         return self.planned[name]
 
     def _sem(self, view: View) -> DataFrame:
+        """A declared view: the current rows of its tables, joined."""
         alias, table = view.base.split()
         used = {(a, c) for a, c, _ in view.columns} | {tuple(j.left.split(".")) for j in view.joins} | {(j.alias, j.key) for j in view.joins}
 
@@ -336,15 +337,30 @@ def sequence_events(v: Views, work: str, first: int, last: int) -> DataFrame:
     return df.select(*_cols(df, _EVENT), ((F.col("SceneOrdinal") - first) * 1000 + F.col("EventOrdinal")).alias("SequenceOrdinal"))
 
 
+def _with_event(name: str, columns: str) -> View:
+    """A view over FactEvent (v) with more of the event's columns, from the same join with it."""
+    v = SEM[name]
+    event = _view(
+        v.base,
+        "cf=DimContinuityFrame(v.ContinuityFrameKey=ContinuityFrameKey); et=DimEventType(v.EventTypeKey=EventTypeKey); l=DimLocation?(v.LocationKey=LocationKey); le=DimEntity?(l.EntityKey=EntityKey)",
+        columns,
+    )
+    return View(v.base, v.joins + event.joins, v.columns + event.columns)
+
+
+_INTERACTION = _with_event("sem_event_participant", "s: SceneOrdinal; et: EventTypeName, EventTypeCode; le: DisplayName>LocationName; v: ConfidenceScore")
+_LIFECYCLE = _with_event("sem_event_asset", "et: EventTypeName, EventTypeCode; s: SceneOrdinal; v: StartSec, EndSec; le: DisplayName>LocationName; v: ConfidenceScore")
+
+
 def event_interactions(v: Views) -> DataFrame:
-    events = v["sem_event"].select("EventKey", "SceneOrdinal", "EventTypeName", "EventTypeCode", "LocationName", "ConfidenceScore")
-    return v["sem_event_participant"].select(*(c for c, _ in names(_PARTICIPANT))).join(events, "EventKey")
+    df = v._sem(_INTERACTION)
+    return df.select(*_cols(df, _PARTICIPANT), "SceneOrdinal", "EventTypeName", "EventTypeCode", "LocationName", "ConfidenceScore")
 
 
 def asset_lifecycle(v: Views) -> DataFrame:
-    events = v["sem_event"].select("EventKey", "EventTypeName", "EventTypeCode", "SceneOrdinal", "StartSec", "EndSec", "LocationName", "ConfidenceScore")
-    df = v["sem_event_asset"].select(*(c for c, _ in names(_ASSET))).join(events, "EventKey")
-    return df.withColumn("TimelineOrdinal", F.col("SceneOrdinal") * 1000 + F.col("EventOrdinal"))
+    df = v._sem(_LIFECYCLE)
+    more = ("EventTypeName", "EventTypeCode", "SceneOrdinal", "StartSec", "EndSec", "LocationName", "ConfidenceScore")
+    return df.select(*_cols(df, _ASSET), *more, (F.col("SceneOrdinal") * 1000 + F.col("EventOrdinal")).alias("TimelineOrdinal"))
 
 
 def character_appearance_timeline(v: Views) -> DataFrame:

@@ -46,3 +46,20 @@ def read_seeds(spark: SparkSession, path: str, row_schema: T.StructType) -> Data
     schema = T.StructType([T.StructField("seedVersion", T.StringType()), T.StructField("target", target), T.StructField("rows", T.ArrayType(row_schema))])
     files = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     return files.select("seedVersion", "target", F.explode("rows").alias("row")).select("seedVersion", F.concat_ws(".", "target.schema", "target.table").alias("target_table"), "row.*")
+
+
+def append_records(records: DataFrame, path: str, by: str | None = None) -> None:
+    """Appends records to a Parquet table, in folders by a column if one is named."""
+    writer = records.write.mode("append")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    """Appends manifests (run_id, created_utc and whatever else) as JSON, in folders by day."""
+    manifests.withColumn("day", F.to_date("created_utc")).write.mode("append").partitionBy("day").json(path)
+
+
+def read_manifests(spark: SparkSession, path: str, schema, since: str | None = None) -> DataFrame:
+    """The manifests, of the days from since on; newest first."""
+    rows = spark.read.schema(schema).json(path)
+    return (rows if since is None else rows.where(F.col("day") >= F.lit(since).cast("date"))).orderBy(F.desc("created_utc"), "run_id")

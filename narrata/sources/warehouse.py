@@ -7,10 +7,13 @@ keys, so that inactive and superseded rows occur in every join.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from narrata.sources.shared import scratch
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -147,36 +150,54 @@ def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)))
 
 
-#: The key that a built table is dealt and sorted by, so that joins on it read sorted, even files.
+#: Tables that are derived from large ones, and the key of most joins with them: they are stored once, bucketed
+#: and sorted by it, so joins on it need no exchange.
 KEYS = {"FactEvent": "EventKey", "BridgeEventParticipant": "EventKey", "BridgeEventAsset": "EventKey", "DimScene": "SceneKey", "DimAppearanceLook": "SceneKey", "DimEntity": "EntityKey"}
 
 
 class Warehouse:
-    """The tables of one data folder, planned lazily and at most once each.
+    """The tables of one data folder, each planned at most once.
 
-    built names a folder that build() has written; its tables are read instead of projected.
+    The tables of KEYS are loaded when first asked for: projected, written to the shared folder as bucketed
+    Parquet, and read from there by every later query of the application, as long as the files they come
+    from stay as they are. The others are projections over the data, planned lazily.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, built: str | None = None):
-        self.spark, self.dir, self.built, self.planned = spark, sf_dir, built, {}
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir, self.planned = spark, sf_dir, {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.planned:
-            if self.built and name in TABLES:
-                self.planned[name] = self.spark.read.parquet(f"{self.built}/{name}")
-            elif name in BASE:
+            if name in BASE:
                 self.planned[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            elif name in KEYS:
+                self.planned[name] = self.spark.table(self._stored(name))
             else:
-                # Timestamps without a zone, so that no session's zone moves them.
-                self.planned[name] = self.sql(re.sub(r"\bTIMESTAMP(?= '|\))", "TIMESTAMP_NTZ", TABLES[name]))
+                self.planned[name] = self.projected(name)
         return self.planned[name]
 
+    def projected(self, name: str) -> DataFrame:
+        """A table as its projection; timestamps have no zone, so that no session's zone moves them."""
+        return self.sql(re.sub(r"\bTIMESTAMP(?= '|\))", "TIMESTAMP_NTZ", TABLES[name]))
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: self[n] for n in needs(text)})
 
-    def build(self, folder: str) -> Warehouse:
-        """Writes every table once, dealt by its join key, and gives the warehouse that reads them."""
-        for name in TABLES:
-            df, key = self[name], KEYS.get(name)
-            (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.mode("overwrite").parquet(f"{folder}/{name}")
-        return Warehouse(self.spark, self.dir, folder)
+    def _version(self) -> str:
+        """A name for the data folder as it is now: its files' sizes and times."""
+        seen, jvm, conf = [self.dir], self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for t in BASE:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{t}.parquet")
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                seen.append(f"{t} {fs.getContentSummary(path).getLength()} {fs.getFileStatus(path).getModificationTime()}")
+        return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+
+    def _stored(self, name: str) -> str:
+        """The catalog name of a table of KEYS, which is loaded if it isn't there."""
+        table = f"narrata_{self._version()}_{name}".lower()
+        if not self.spark.catalog.tableExists(table):
+            buckets, key = int(self.spark.conf.get("spark.sql.shuffle.partitions")), KEYS[name]
+            rows = self.projected(name).repartition(buckets, key)
+            rows.write.bucketBy(buckets, key).sortBy(key).option("path", scratch(self.spark, table)).saveAsTable(table)
+        return table

@@ -133,7 +133,7 @@ def test_crawl_and_closure(spark):
     got = dict(one(graph.crawl(spark.createDataFrame([(1,)], "node long"), edges, 2)))
     assert got == {1: 0, 2: 1, 3: 1, 4: 2}
     tree = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", None)], "node string, parent string")
-    assert sorted(one(graph.closure(tree, 5).where("distance = 2"))) == [("c", "a", 2)]
+    assert sorted(one(graph.closure(tree).where("distance = 2"))) == [("c", "a", 2)]
 
 
 def test_entity_match(spark):
