@@ -105,8 +105,8 @@ class Search:
 
 
 def shards(benchmark: DataFrame, id_column: str, bound: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in lists whose texts hold at most bound bytes together (or one item), by measured sizes."""
-    items = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("name"), F.col("text").alias("text"))
+    """The distinct items in lists whose texts hold about bound bytes together at most, by measured sizes."""
+    items = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("name"), F.col("text").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // (bound // 2 or 1)) if total > bound else 1)
     for k in range(n):
