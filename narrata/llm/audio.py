@@ -5,9 +5,12 @@ gives the sum of any rectangle in four look-ups, so sixteen filters (differences
 rectangle can be halved or cut in three) cost the same at any size. Each filter gives two bits in Gray code;
 a frame's bits are one packed 32-bit integer.
 
-To align recordings, every query is held against every recording at every offset with enough overlap: the bits of
-blocks of recordings are matrices of plus and minus one, so one product gives the bit errors of all pairs of two
-blocks at an offset. No candidate is chosen beforehand, so no pair within the error limit is missed.
+To align recordings, every query gets an offset histogram with every recording: each bit of a frame that agrees
+with a frame of the other recording is a vote for their offset. The bits of blocks of recordings are matrices of
+plus and minus one, so one product gives a bin of the histograms of all pairs of two blocks. A pair is aligned at
+the bin with the greatest share of votes, and matches if its bit errors, counted on the integers, are within the
+limit. No pair is left out beforehand, so none within the limit is missed; a query set against all rows is what
+the product is of.
 """
 
 from __future__ import annotations
@@ -163,21 +166,32 @@ def _signs(fps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return size, out
 
 
-def nearest(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair the lowest share of bit errors at any offset with enough overlap (2 if none), and that offset.
+def offset_histograms(left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset with enough overlap: the offset, the overlap of each pair in frames, and its votes.
 
-    Of equal shares the smallest shift counts, and of a shift's two directions the positive one.
+    votes[i, j] counts the bits that agree of left i and right j when left runs ahead by the offset. Offsets come
+    by size, the positive one of a shift first.
     """
     (m, x), (n, y) = _signs(left), _signs(right)
-    best, where = np.full((len(m), len(n)), 2.0), np.zeros((len(m), len(n)), np.int32)
     for offset in sorted(range(OVERLAP - int(n.max()), int(m.max()) - OVERLAP + 1), key=lambda o: (abs(o), -o)):
         overlap = np.minimum.outer(m - max(0, offset), n - max(0, -offset))
         frames = int(overlap.max())
         if frames < OVERLAP:
             continue
         a, b = 32 * max(0, offset), 32 * max(0, -offset)
-        same = x[:, a : a + 32 * frames] @ y[:, b : b + 32 * frames].T
-        rate = (32.0 * overlap - same) / (64.0 * np.maximum(overlap, 1))
+        agree = x[:, a : a + 32 * frames] @ y[:, b : b + 32 * frames].T
+        yield offset, overlap, (agree + 32.0 * overlap) / 2
+
+
+def nearest(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the lowest share of bit errors at any offset with enough overlap (2 if none), and that offset.
+
+    That is the offset with the greatest share of votes; of equal ones the smallest shift counts, and of a
+    shift's two directions the positive one.
+    """
+    best, where = np.full((len(left), len(right)), 2.0), np.zeros((len(left), len(right)), np.int32)
+    for offset, overlap, votes in offset_histograms(left, right):
+        rate = 1 - votes / (32.0 * np.maximum(overlap, 1))
         better = (rate < best) & (overlap >= OVERLAP)
         best[better], where[better] = rate[better], offset
     return best, where
@@ -189,12 +203,14 @@ def _matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, q_fps, c, fps in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             best, where = nearest(q_fps, fps)
             out = []
-            for i, j in zip(*np.nonzero(best <= ERRORS), strict=True):
+            for i, j in zip(*np.nonzero(best <= ERRORS + 1e-6), strict=True):
                 if q[i] != c[j]:
                     offset = int(where[i, j])
                     x, y = (np.frombuffer(fp, np.uint32)[max(0, at) :] for fp, at in ((q_fps[i], offset), (fps[j], -offset)))
                     n = min(len(x), len(y))
-                    out.append((q[i], c[j], offset, int((x[:n] == y[:n]).sum()), n, float(best[i, j])))
+                    wrong = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
+                    if wrong <= ERRORS * 32 * n:
+                        out.append((q[i], c[j], offset, 32 * n - wrong, n, wrong / (32 * n)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -204,7 +220,7 @@ def align(prints: DataFrame, is_query: Column) -> DataFrame:
 
     prints has rec_id and fp. Recordings of one fingerprint are one class, named by its smallest rec_id:
     kind 'member', left_id the recording, right_id its class. kind 'match': left_id the class of a query,
-    right_id another class, offset (frames by which left runs ahead), votes, overlap and error_rate. So copies
+    right_id another class, offset (frames by which left runs ahead), votes (bits that agree there), overlap and error_rate. So copies
     aren't expanded into pairs. A recording without a fingerprint (null, too short, no sound file) is a member
     of its own class and matches nothing; a null rec_id drops out. Repeated rows are one recording.
     """
