@@ -9,7 +9,11 @@ Two machines work one behind the other.
 * The counter reads the bytes of a pre-token. Each transition is annotated with the number of tokens that
   the encoding of the prefix gains or loses, so the count of a pre-token is the sum along its path. A state
   is the longest suffix that can still begin a longer token, with the last tokens and the counts at the
-  places inside it; only states that occur are compiled, and they are kept up to a bound.
+  places inside it; only states that occur are compiled, and they are kept up to a bound. A chunk of a long
+  pre-token is a map from the state before it to the state after it and the tokens gained; such maps compose
+  by following the states and adding the tokens, and are remembered with their chunk. Every pre-token begins
+  at the root, so a whole pre-token's map is its count alone; composing those is adding, and a prefix scan
+  over a batch's pre-tokens gives the counts at all text boundaries at once.
 
 The counter rests on a property of BPE with ranked merges: a sequence of tokens is the encoding of its bytes
 if and only if every neighbouring pair encodes to itself. So the last token of a prefix is the one whose
@@ -31,8 +35,8 @@ from narrata.llm.common import columns_of, map_rows, ready
 
 #: Bounds of what a worker remembers: compiled transitions, counts of pre-tokens, and the length of those.
 TRANSITIONS, REMEMBERED, REMEMBERED_CHARS = 1_000_000, 300_000, 48
-#: Characters that one chunk map covers.
-CHUNK = 64
+#: Characters that one chunk map of the splitter covers, and bytes that one of the counter covers.
+CHUNK, CHUNK_BYTES = 64, 256
 
 # Character classes of the splitter.
 SPACE, BLANK, LETTER, STMD, RV, EL, EE, NUMBER, QUOTE, OTHER, BREAK = range(11)
@@ -147,6 +151,7 @@ class Counter:
         self.go: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, int] = {}
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def encode(self, data: bytes) -> list[bytes]:
         """The merges applied lowest rank first: what the compiler consults for a pair, never for a text."""
@@ -188,19 +193,47 @@ class Counter:
             self.states.append(key)
         return self.number[key], gained
 
-    def count(self, piece: str) -> int:
-        if len(self.go) > TRANSITIONS:
-            del self.states[1:]
-            self.number = {self.states[0]: 0}
-            self.go.clear()
-        go, state, total = self.go, 0, 0
-        for byte in piece.encode():
+    def read(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after data from a state, and the tokens gained."""
+        go, total = self.go, 0
+        for byte in data:
             key = state << 8 | byte
             step = go.get(key)
             if step is None:
                 step = go[key] = self._compile(state, byte)
             state = step[0]
             total += step[1]
+        return state, total
+
+    def _bound(self, state: int) -> int:
+        """The state's number after forgetting everything compiled, if that is over the bound."""
+        if len(self.go) <= TRANSITIONS:
+            return state
+        key = self.states[state]
+        del self.states[1:]
+        self.number = {self.states[0]: 0}
+        self.go.clear()
+        self.maps.clear()
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
+
+    def count(self, piece: str) -> int:
+        data = piece.encode()
+        self._bound(0)
+        if len(data) <= CHUNK_BYTES:
+            return self.read(0, data)[1]
+        state = total = 0
+        for i in range(0, len(data), CHUNK_BYTES):
+            state, chunk = self._bound(state), data[i : i + CHUNK_BYTES]
+            found = self.maps.get((state, chunk))
+            if found is None:
+                if len(self.maps) >= TRANSITIONS // CHUNK_BYTES:
+                    self.maps.clear()
+                found = self.maps[state, chunk] = self.read(state, chunk)
+            state = found[0]
+            total += found[1]
         return total
 
     def __getitem__(self, piece: str) -> int:
@@ -252,8 +285,8 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     stops = np.append(at[1:], len(classes))[real]
     at = at[real]
     counts = np.fromiter(map(counter.__getitem__, map(joined.__getitem__, map(slice, at.tolist(), stops.tolist()))), np.int64, len(at))
-    sums = np.add.reduceat(counts, np.searchsorted(at, np.concatenate(([0], ends[:-1] + 1))))
-    for (i, _), n in zip(sections, sums.tolist(), strict=True):
+    scan = np.concatenate(([0], np.cumsum(counts)))
+    for (i, _), n in zip(sections, np.diff(scan[np.searchsorted(at, np.concatenate(([0], ends)))]).tolist(), strict=True):
         totals[i] += n
     return totals
 

@@ -69,6 +69,25 @@ def test_counts_equal_the_library(spark):
     assert [rows[i]["over_limit"] for i in range(len(texts))] == [n > 1024 for n in expected]
 
 
+def test_long_words_within_the_bound(monkeypatch):
+    """Chunk maps of long words give the library's counts, and what is compiled stays within its bound."""
+    from tokenizers import Tokenizer
+
+    lib, r = Tokenizer.from_file(JSON), random.Random(3)
+    monkeypatch.setattr(tokencount, "TRANSITIONS", 5000)
+    counter, _ = tokencount.machine(JSON)
+    counter.go.clear()
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (255, 256, 257, 3000, 40_000)] + ["the" * 5000, "a" * 9999]
+    for w in words:
+        assert counter.count(w) == len(lib.encode(w, add_special_tokens=False).ids)
+        assert len(counter.go) <= 5000 + tokencount.CHUNK_BYTES and len(counter.maps) <= 5000 // tokencount.CHUNK_BYTES
+    # Composing the maps of two halves is reading the whole.
+    data = words[3].encode()
+    middle, first = counter.read(0, data[:1000])
+    end, second = counter.read(middle, data[1000:])
+    assert counter.read(0, data) == (end, first + second)
+
+
 def test_chunk_maps_compose_to_a_serial_reading():
     import numpy as np
 
