@@ -228,7 +228,7 @@ def _families(nodes: DataFrame, percent: int, miss: float) -> DataFrame:
         edges = close if edges is None else edges.unionByName(close)
         rest = paired.join(measured(share.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "share")), ["node", "pivot"])
         open_ = rest.groupBy("band").agg(F.min("share").alias("least")).where(F.col("least") < join).select("band")
-        members = kept(rest.where(F.col("share") < STAY).join(open_, "band", "left_semi").select("band", "node"))
+        members = kept(rest.where(F.col("share") < STAY).join(measured(kept(open_)), "band", "left_semi").select("band", "node"))
         if members.isEmpty():
             break
     return components(edges)
