@@ -103,7 +103,8 @@ def _shards(names: DataFrame) -> Iterator[list[str]]:
     total = names.agg(F.sum(F.octet_length("entity") + 16)).first()[0] or 0
     n = -(-total * 2 // NAMES_BYTES) if total > NAMES_BYTES else 1
     for k in range(n if total else 0):
-        yield [r["entity"] for r in names.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == k).collect()]
+        if found := [r["entity"] for r in names.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == k).collect()]:
+            yield found
 
 
 def _containing(titles: DataFrame, names: list[str]) -> DataFrame:

@@ -155,6 +155,10 @@ def needs(sql: str) -> list[str]:
 KEYS = {"FactEvent": "EventKey", "BridgeEventParticipant": "EventKey", "BridgeEventAsset": "EventKey", "DimScene": "SceneKey", "DimAppearanceLook": "SceneKey", "DimEntity": "EntityKey"}
 
 
+#: Base tables as read, with their files and schema: asking for those anew would cost every query a job for each table.
+_READ: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
 class Warehouse:
     """The tables of one data folder, each planned at most once.
 
@@ -164,12 +168,15 @@ class Warehouse:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self.planned = spark, sf_dir, {}
+        self.spark, self.dir, self.planned, self.version = spark, sf_dir, {}, ""
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.planned:
             if name in BASE:
-                self.planned[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                key = (self.spark.sparkContext.applicationId, self.dir, self._version(), name)
+                if key not in _READ:
+                    _READ[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                self.planned[name] = _READ[key]
             elif name in KEYS:
                 self.planned[name] = self.spark.table(self._stored(name))
             else:
@@ -184,14 +191,17 @@ class Warehouse:
         return self.spark.sql(text, **{n: self[n] for n in needs(text)})
 
     def _version(self) -> str:
-        """A name for the data folder as it is now: its files' sizes and times."""
+        """A name for the data folder as it was when first asked for: its files' sizes and times."""
+        if self.version:
+            return self.version
         seen, jvm, conf = [self.dir], self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in BASE:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{t}.parquet")
             fs = path.getFileSystem(conf)
             if fs.exists(path):
                 seen.append(f"{t} {fs.getContentSummary(path).getLength()} {fs.getFileStatus(path).getModificationTime()}")
-        return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+        self.version = hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+        return self.version
 
     def _stored(self, name: str) -> str:
         """The catalog name of a table of KEYS, which is loaded if it isn't there."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions import text
 from narrata.operators import evidence, graph, queue, retrieval, seeds, snapshot
+from narrata.sources import records
 
 
 def one(df):
@@ -321,3 +322,55 @@ def test_embedding_tables(spark):
     assert sorted(r["chunk_id"] for r in retrieval.new_embeddings(e, e.where("chunk_id = 'c2'")).collect()) == ["c1", "c3"]
     assert [r["chunk_id"] for r in retrieval.candidates(e, chunks, "m", ["web"]).collect()] == ["c2"]
     assert tuple(retrieval.index_manifest(e, e.limit(1), chunks).select("sources", "indexed", "chunks", "bytes", "skipped").first()) == (4, 1, 2, 12, 3)
+
+
+def test_closure_has_no_depth_limit_and_refuses_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "node long, parent long")
+    found = {(r["node"], r["ancestor"]): r["distance"] for r in graph.closure(chain).collect()}
+    assert len(found) == 40 * 41 // 2 and all(d == n - a for (n, a), d in found.items())
+    with pytest.raises(ValueError, match="cycle"):
+        graph.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
+
+
+def test_names_in_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NAMES_BYTES", 40)  # several machines
+    titles = ["x " * 5000 + "Tatooine end", "nothing here", None, "alDERaan", ""]
+    works = spark.createDataFrame([(i, t, ["hoth"] if i == 1 else None, f"id{i}") for i, t in enumerate(titles)], "work_id long, title string, concepts array<string>, identifier string")
+    entities = spark.createDataFrame([("tatooine",), ("Alderaan",), ("Hoth",), ("",), (None,), ("zz",)], "entity string")
+    found = lambda *a, **k: sorted(r["work_id"] for r in graph.match_entities(works, entities, *a, **k).collect())
+    assert found() == [0, 1, 3]
+    assert found(spark.createDataFrame([("id4",)], "identifier string")) == [0, 1, 3, 4]
+    assert found(case_sensitive=True) == []
+
+
+def test_cited_works_lead_on_from_matches_only(spark):
+    rows = [("W1", "on Hoth", ["W7", "W8"], 0), ("W2", "elsewhere", ["W9"], 0), ("W3", "Hoth again", ["W7"], 1)]
+    works = spark.createDataFrame([(w, t, [], None, r, d, 10, "api", "works") for w, t, r, d in rows], "work_id string, title string, concepts array<string>, identifier string, refs array<string>, depth int, priority int, source_system string, source_name string")
+    got = graph.discover_cited(works, spark.createDataFrame([("hoth",)], "entity string")).collect()
+    assert sorted((r["resource_id"], r["depth"], r["priority"], r["discovered_from"]) for r in got) == [("W7", 1, 20, "W1"), ("W8", 1, 20, "W1")]
+
+
+def test_appended_records_and_manifests(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "2024-01-01 10:00:00", 3), ("r2", "2024-01-02 09:00:00", 4)], "run_id string, created_utc string, items int").withColumn("created_utc", F.col("created_utc").cast("timestamp"))
+    for _ in range(2):
+        records.append_records(rows, str(tmp_path / "records"), "run_id")
+    assert spark.read.parquet(str(tmp_path / "records")).count() == 4
+    records.write_manifests(rows, str(tmp_path / "manifests"))
+    schema = "run_id string, created_utc timestamp, items int, day date"
+    assert [r["run_id"] for r in records.read_manifests(spark, str(tmp_path / "manifests"), schema).collect()] == ["r2", "r1"]
+    assert [r["run_id"] for r in records.read_manifests(spark, str(tmp_path / "manifests"), schema, "2024-01-02").collect()] == ["r2"]
+
+
+def test_runs_that_ended_stay(spark):
+    at = lambda m: F.lit(f"2024-02-01 00:0{m}:00").cast("timestamp_ntz")
+    runs = queue.start_runs(spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "job_id long, attempt_count int"), at(0))
+    said = spark.createDataFrame([("1:1", "SUCCEEDED", None), ("1:1", "FAILED", "x"), ("2:1", "SUCCEEDED", "fine")], "run_id string, outcome string, message string")
+    ended = queue.end_runs(runs, said, at(5))
+    again = queue.end_runs(ended, said.withColumn("outcome", F.lit("FAILED")), at(9))
+    got = {r["run_id"]: (r["status"], r["error"], r["completed_utc"] and r["completed_utc"].minute) for r in again.collect()}
+    assert got == {"1:1": ("FAILED", "x", 5), "2:1": ("SUCCEEDED", None, 5), "3:2": ("RUNNING", None, None)}
+
+
+def test_sampled_columns(spark):
+    rows = spark.createDataFrame([(1, i, i) for i in range(9)], "g int, a int, b int")
+    assert evidence.sample_rows(rows, "g", ["a"], 4, "first_last", 2).columns == ["g", "a"]
