@@ -451,7 +451,20 @@ def evidence_ids(w):
     return w["documents"].select("doc_id", text.evidence_id(kind, F.col("source"), F.col("doc_id")).alias("evidence_id"))
 
 
-@query()
+def _cut_sql(x: str, most: int) -> str:
+    """SQL for x within most bytes; where that cuts a character, three more bytes go, and then those of a cut character."""
+    digits, at = f"hex(encode({x}))", lambda k: f"substring(hex(encode({x})), {2 * k + 1}, 1) IN ('8', '9', 'A', 'B')"
+    size = f"CASE WHEN NOT {at(most)} THEN {most} " + " ".join(f"WHEN NOT {at(most - k)} THEN {most - k}" for k in (3, 4, 5)) + f" ELSE {most - 6} END"
+    return f"CASE WHEN octet_length(encode({x})) <= {most} THEN {x} ELSE decode(unhex(substring({digits}, 1, 2 * ({size})))) END"
+
+
+@query(
+    f"""WITH d AS (SELECT source AS bundle, doc_id AS source_ordinal, CASE doc_id % 3 WHEN 0 THEN 'doc_chunk' WHEN 1 THEN 'lake_http' ELSE 'sql_query_def' END AS evidence_type, left(sha256(lang), 12) AS ref,
+    coalesce(text, '') AS raw FROM documents), r AS (SELECT *, CASE evidence_type WHEN 'doc_chunk' THEN {_sql_redact('raw')} ELSE raw END AS x FROM d), c AS (SELECT *, {_cut_sql('x', 1000)} AS y FROM r),
+    o AS (SELECT *, CASE evidence_type WHEN 'lake_http' THEN {_sql_redact('y')} ELSE y END AS content FROM c)
+    SELECT bundle, source_ordinal, evidence_type, CASE evidence_type WHEN 'doc_chunk' THEN 'doc:' || ref || ':' || source_ordinal WHEN 'lake_http' THEN 'lake:' || ref || ':' || source_ordinal ELSE 'sqldef:' || ref END AS item_id,
+    sha256(content) AS content_sha256, octet_length(encode(content)) AS byte_count, octet_length(encode(raw)) > 1000 AS cut FROM o"""
+)
 def evidence_items(w):
     kind = F.when(F.col("doc_id") % 3 == 0, "doc_chunk").when(F.col("doc_id") % 3 == 1, "lake_http").otherwise("sql_query_def")
     rows = w["documents"].select(F.col("source").alias("bundle"), F.col("doc_id").alias("source_ordinal"), kind.alias("evidence_type"), F.col("lang").alias("source_ref"), "text")
