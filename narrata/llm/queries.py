@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import audio, bpe_codec, chat, decontam, html_text, langid, neardup, quality, substring, tokencount
+from narrata.llm import audio, bpe_codec, chat, decontam, html_text, langid, neardup, packing, panes, quality, substring, tokencount, variants
 from narrata.llm.common import table
 
 
@@ -67,6 +67,18 @@ def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.align(prints, F.col("rec_id") % 100 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), with_ids=False)
+
+
+def op13_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.revised_panes(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
