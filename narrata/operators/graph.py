@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrata.operators import grams
 from narrata.operators.relational import few
 from narrata.sources.shared import kept
 
@@ -74,59 +72,24 @@ def clean_identifier(x: Column) -> Column:
     return F.when(bare != x, bare).otherwise(F.element_at(F.split(x, "/"), -1))
 
 
-#: Bytes of entity names that are searched for at once.
-NAMES_BYTES = 8 << 20
-
-
 def match_entities(works: DataFrame, entities: DataFrame, identifiers: DataFrame | None = None, case_sensitive: bool = False) -> DataFrame:
     """Works (work_id, title, concepts, identifier) that name a known entity (entity).
 
     An identifier matches exactly, a title by containing an entity, a concept by being one. Identifiers and
-    concepts are semi-joins. Titles are read once for each NAMES_BYTES of names, by a machine that looks for
-    all of them together; so the work grows with the titles, not with titles times names. Null and empty
-    names match nothing.
+    concepts are semi-joins, titles an index of grams (`grams.containing`). Null and empty names match
+    nothing; repeated works and names count once.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
-    names = kept(entities.select(fold(F.col("entity")).alias("entity")).where("entity <> ''").distinct(), "names")
-    titles = works.select("work_id", fold(F.col("title")).alias("title")).where("title IS NOT NULL")
-    spread = works.select("work_id", F.explode("concepts").alias("concept")).select("work_id", fold(F.col("concept")).alias("entity"))
-    found = spread.join(few(names, "octet_length(entity)"), "entity", "left_semi").select("work_id")
-    for shard in _shards(names):
-        found = found.unionByName(_containing(titles, shard))
+    names = kept(entities.select(fold(F.col("entity")).alias("name")).where("name <> ''").distinct(), "names")
+    titles = works.select(F.col("work_id").alias("text_id"), fold(F.col("title")).alias("text"))
+    spread = works.select("work_id", F.explode("concepts").alias("concept")).select("work_id", fold(F.col("concept")).alias("name"))
+    found = spread.join(few(names, "octet_length(name)"), "name", "left_semi").select("work_id")
+    found = found.unionByName(grams.containing(titles, names).select(F.col("text_id").alias("work_id")))
     if identifiers is not None:
         found = found.unionByName(works.join(few(identifiers, "octet_length(identifier)"), "identifier", "left_semi").select("work_id"))
     return found.distinct()
 
 
-def _shards(names: DataFrame) -> Iterator[list[str]]:
-    """The names in lists of NAMES_BYTES or so."""
-    total = names.agg(F.sum(F.octet_length("entity") + 16)).first()[0] or 0
-    n = -(-total * 2 // NAMES_BYTES) if total > NAMES_BYTES else 1
-    for k in range(n if total else 0):
-        if found := [r["entity"] for r in names.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == k).collect()]:
-            yield found
-
-
-def _containing(titles: DataFrame, names: list[str]) -> DataFrame:
-    """The work_id of titles that contain any of the names."""
-    shared = titles.sparkSession.sparkContext.broadcast(names)
-    machines: dict[int, object] = {}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        if 0 not in machines:
-            machines[0] = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for name in shared.value:
-                machines[0].add_word(name)
-            machines[0].make_automaton()
-        for batch in batches:
-            hit = [next(machines[0].iter(t), None) is not None for t in batch.column("title").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("work_id").filter(pa.array(hit, pa.bool_()))], ["work_id"])
-
-    return titles.mapInArrow(run, titles.select("work_id").schema)
-
-
 def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of the nodes within max_depth links of the seeds, each at its least depth.
 

@@ -73,13 +73,13 @@ def crawl_frontier(w):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT lower(entity) AS entity FROM (SELECT p_name AS entity FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT left(text, 24) FROM benchmark UNION ALL SELECT 'de') WHERE entity <> '')
+    """WITH e AS (SELECT DISTINCT lower(entity) AS entity FROM (SELECT p_name AS entity FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT text FROM benchmark UNION ALL SELECT 'de') WHERE entity <> '')
     SELECT DISTINCT d.doc_id AS work_id FROM documents d WHERE EXISTS (SELECT 1 FROM e WHERE e.entity <> 'de' AND contains(lower(d.text), e.entity)) OR contains(lower(d.text), 'de') OR lower(d.lang) IN (SELECT entity FROM e) OR d.source = 'src7'"""
 )
 def entity_match(w):
-    """Whole texts that name a part, a nation, or the beginning of a benchmark item."""
+    """Whole texts that name a part, a nation, or a whole benchmark item."""
     works = w["documents"].select(F.col("doc_id").alias("work_id"), F.col("text").alias("title"), F.array("lang").alias("concepts"), F.col("source").alias("identifier"))
-    names = [w["part"].select(F.col("p_name").alias("entity")), w["nation"].select("n_name"), w["benchmark"].select(F.substring("text", 1, 24)), w.spark.createDataFrame([("de",)], "entity string")]
+    names = [w["part"].select(F.col("p_name").alias("entity")), w["nation"].select("n_name"), w["benchmark"].select("text"), w.spark.createDataFrame([("de",)], "entity string")]
     entities = names[0]
     for more in names[1:]:
         entities = entities.union(more)

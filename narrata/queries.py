@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.plans import ask, corpus, lessons, views
+from narrata.plans import ask, corpus, lessons, shop, views  # noqa: F401 (shop registers its queries with corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from narrata.sources.shared import scratch
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SHOP = "clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def _versioned(name: str, key: str, odd: int = 41) -> str:
@@ -172,7 +173,7 @@ class Warehouse:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.planned:
-            if name in BASE:
+            if name in BASE or name in SHOP:
                 key = (self.spark.sparkContext.applicationId, self.dir, self._version(), name)
                 if key not in _READ:
                     _READ[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -195,7 +196,7 @@ class Warehouse:
         if self.version:
             return self.version
         seen, jvm, conf = [self.dir], self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in BASE:
+        for t in (*BASE, *SHOP):
             path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{t}.parquet")
             fs = path.getFileSystem(conf)
             if fs.exists(path):
