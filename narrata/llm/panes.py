@@ -213,10 +213,12 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: State in RocksDB, of which a batch writes the changes; no batches without rows, so that each start is one batch.
+#: State in RocksDB, of which a batch writes the changes. Every start is one batch, so there are no batches without
+#: rows, and a task closes its store when it commits: the next start loads it anew, and it takes disk until then.
 STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
