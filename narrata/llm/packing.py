@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -26,17 +26,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.llm.bpe_codec import Memory
 from narrata.llm.common import LOWER, STEP_CHARS, arrow_schema, columns_of, cuts, ready
 
 #: Lengths up to capacity // WHOLE stay whole; so do those that leave at most capacity // SLACK of a bin empty.
 WHOLE, SLACK = 16, 64
-#: Words that one call of the library encodes.
-CALL = 20_000
+#: Words that one call of the library encodes, and those that a worker remembers in each of two generations.
+CALL, REMEMBERED = 20_000, 500_000
 #: Sequences are numbered within a task; the task's number stands above these bits.
 TASK_BITS = 36
 
 
+class Remembered:
+    """The ids of words. A full generation becomes the older one; what it still answers moves to the younger."""
+
+    def __init__(self, learn: Callable[[list[bytes]], Iterable[bytes]]):
+        self.learn = learn
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table that has all these words."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        if missing := words.difference(self.known):
+            new = []
+            for w in missing:  # a set's own intersection would go through the whole table
+                if (ids := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+            self.known.update(zip(new, self.learn(new), strict=True))
+        return self.known
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, as packed unsigned 32-bit integers.
 
@@ -46,7 +68,7 @@ class WordEncoder:
     among them, goes to the library as it stands.
     """
 
-    PLAIN = re.compile(rb"[A-Za-z]+|[^A-Za-z]+")
+    PLAIN = re.compile(rb"[a-z]+|[^a-z]+")
     SIMPLE = re.compile(rb"[A-Za-z!-&(-/:;=>?@\[-`{-~]+")
 
     def __init__(self, path: str):
@@ -54,7 +76,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.runs, self.parts = Memory(self._runs), Memory(self._library)
+        self.runs, self.parts = Remembered(self._runs), Remembered(self._library)
 
     def _library(self, words: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(words), CALL):
@@ -64,20 +86,16 @@ class WordEncoder:
             ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))).tolist()
             yield from map(lambda a, b: ids[a:b], [0, *ends[:-1]], ends)
 
-    def _runs(self, runs: list[bytes]) -> Iterator[bytes]:
-        split = [self.PLAIN.findall(r.translate(LOWER)) if self.SIMPLE.fullmatch(r) else [r] for r in runs]
-        found = iter(self.parts.look([p for parts in split for p in parts]))
-        for parts in split:
-            yield b"".join([next(found) for _ in parts])
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
+        simple, plain = self.SIMPLE.fullmatch, self.PLAIN.findall
+        split = [plain(r.translate(LOWER)) if simple(r) else (r,) for r in runs]
+        part = self.parts.of(set().union(*split)).__getitem__
+        return [part(s[0]) if len(s) == 1 else b"".join(map(part, s)) for s in split]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        found = self.runs.look([r for runs in split for r in runs])
-        out, at = [], 0
-        for runs in split:
-            out.append(b"".join(found[at : at + len(runs)]))
-            at += len(runs)
-        return out
+        run = self.runs.of(set().union(*split)).__getitem__
+        return [b"".join(map(run, runs)) for runs in split]
 
 
 @lru_cache(maxsize=2)
