@@ -111,3 +111,71 @@ def load_items(texts: DataFrame, max_item_bytes: int = POLICY["max_item_bytes"])
         F.octet_length(content).cast("long").alias("byte_count"),
         (F.octet_length(raw) > max_item_bytes).alias("cut"),
     )
+
+
+def result_texts(rows: DataFrame, ref: str, order: list[str], columns: list[str], max_rows: int = POLICY["max_sql_rows"], max_cols: int | None = POLICY["max_sql_cols"], how: str = "first_only") -> DataFrame:
+    """(ref, text, total_rows, sampled_rows): each query result of rows, told apart by ref, as bounded text.
+
+    A head with the numbers of rows and columns, the columns' names, how rows were sampled, then a line of
+    JSON for each sampled row. Rows stand in the given order. The sample is drawn before rows are gathered,
+    so a text takes max_rows rows at most, whatever its result holds. A result without rows isn't there.
+    """
+    shown = columns[:max_cols] if max_cols else columns
+    sizes = rows.groupBy(ref).agg(F.count(F.lit(1)).alias("total_rows"))
+    cells = [F.concat(F.lit(f'"{c}": '), F.expr(f"substring(to_json(array(`{c}`)), 2, length(to_json(array(`{c}`))) - 2)")) for c in shown]
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}"))
+    keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    lines = rows.select(F.col(ref), *keys, line.alias("_line"))
+    sample = sample_rows(lines, ref, [f"_o{i}" for i in range(len(order))], max_rows, how)
+    at = F.row_number().over(Window.partitionBy(ref).orderBy(*(f"_o{i}" for i in range(len(order))))) - 1
+    numbered = sample.select(ref, F.struct(at.alias("i"), F.concat(F.lit("Row "), at.cast("string"), F.lit(": "), F.col("_line")).alias("line")).alias("_row"))
+    body = numbered.groupBy(ref).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    total, half, stride = F.col("total_rows").cast("string"), max_rows // 2, F.greatest(F.floor(F.col("total_rows") / max_rows), F.lit(1)).cast("string")
+    n = F.size("_rows").cast("string")
+    note = {
+        "first_only": F.concat(F.lit(f"First {max_rows} rows of "), total),
+        "first_last": F.concat(F.lit(f"First {half} and last {half} rows of "), total),
+        "stride": F.concat(F.lit("Every "), stride, F.lit("th row (sampled "), n, F.lit(" of "), total, F.lit(")")),
+    }[how]
+    head = [F.concat(F.lit("SQL Result Set ("), total, F.lit(f" rows, {len(columns)} columns)")), F.lit(f"Columns: {', '.join(shown)}")]
+    head += [F.lit(f"(Note: Showing {len(shown)} of {len(columns)} columns)")] if len(shown) < len(columns) else []
+    head += [F.lit(""), F.concat(F.lit("Sampling: "), F.when(F.col("total_rows") <= max_rows, "All rows included").otherwise(note)), F.lit("")]
+    text_ = F.concat_ws("\n", *head, F.array_join(F.col("_rows.line"), "\n"))
+    return body.join(sizes, ref).select(ref, text_.alias("text"), "total_rows", F.size("_rows").cast("long").alias("sampled_rows"))
+
+
+#: How a result artifact is stored, besides its own columns' names.
+RESULT = "struct<columns: array<string>, rows: array<array<variant>>, row_count: bigint, query: string>"
+
+
+def stored_results(artifacts: DataFrame) -> DataFrame:
+    """(lake_uri, row_index, column_index, name, value) of result artifacts (lake_uri, text), value as JSON text.
+
+    A text that isn't a result has no cells; a row's cells beyond the named columns are left out.
+    """
+    parsed = artifacts.select("lake_uri", F.from_json("text", RESULT).alias("r"))
+    rows = parsed.select("lake_uri", F.col("r.columns").alias("names"), F.posexplode("r.rows").alias("row_index", "cells"))
+    cells = rows.select("lake_uri", "row_index", "names", F.posexplode("cells").alias("column_index", "cell")).where("column_index < size(names)")
+    return cells.select("lake_uri", "row_index", "column_index", F.element_at("names", F.col("column_index") + 1).alias("name"), F.coalesce(F.to_json("cell"), F.lit("null")).alias("value"))
+
+
+def prompts(jobs: DataFrame, registry: DataFrame, items: DataFrame) -> DataFrame:
+    """(job_id, interrogation_key, n_items, prompt): each job's template, filled with its entity and evidence.
+
+    jobs: job_id, interrogation_key, entity_type, entity_id; registry: interrogation_key, prompt_template with
+    {entity_type}, {entity_id} and {evidence_content}; items: job_id, source_ordinal, item_id, evidence_type,
+    content, bounded beforehand (`bound_bundles`). Of several definitions of a key the last registered
+    (version) counts. Jobs of unknown keys are left out; a job without items says so. Values aren't searched
+    for placeholders.
+    """
+    latest = registry.groupBy("interrogation_key").agg(F.max_by("prompt_template", F.struct("version", "prompt_template")).alias("_template"))
+    part = F.concat(F.lit("--- Evidence ["), F.col("item_id"), F.lit("] (type: "), F.col("evidence_type"), F.lit(") ---\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    gathered = items.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("source_ordinal", "item_id", part.alias("part")))).alias("_parts"))
+    rows = jobs.join(latest, "interrogation_key").join(gathered, "job_id", "left")
+    evidence = F.coalesce(F.array_join(F.col("_parts.part"), "\n"), F.lit("[No evidence provided]"))
+    values = {"entity_type": F.col("entity_type"), "entity_id": F.col("entity_id"), "evidence_content": evidence}
+    # The template is split at its placeholders, so that what is filled in is never read as one.
+    pieces = F.regexp_extract_all("_template", F.lit(r"(?s)(\{(?:entity_type|entity_id|evidence_content)\}|.+?(?=\{(?:entity_type|entity_id|evidence_content)\}|$))"), F.lit(1))
+    filled = rows.withColumn("_values", F.create_map(*(x for name, v in values.items() for x in (F.lit("{" + name + "}"), F.coalesce(v, F.lit(""))))))
+    prompt = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.col("_values")[p], p)), "")
+    return filled.select("job_id", "interrogation_key", F.coalesce(F.size("_parts"), F.lit(0)).cast("long").alias("n_items"), prompt.alias("prompt"))

@@ -18,7 +18,7 @@ from narrata.operators.relational import few
 BLOCK = 512
 
 
-def chunk_records(sources: DataFrame, size: int = 2000, overlap: int = 200, most: int = 100, version: str = "1.0") -> DataFrame:
+def chunk_records(sources: DataFrame, size: int = 2000, overlap: int = 200, most: int | None = 100, version: str = "1.0") -> DataFrame:
     """Chunk rows of sources (source_id, content) with their ids, hashes and sizes."""
     rows = text.chunks(sources.select("source_id", F.col("content").alias("_text")), "_text", size, overlap, most)
     return rows.select(

@@ -472,7 +472,7 @@ def evidence_items(w):
 
 
 _CHUNKS = """s AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) <= 2000 THEN 1 ELSE 1 + CAST(ceil((length(text) - 2000) / 1800.0) AS INT) END AS c FROM documents WHERE length(text) > 0),
-    x AS (SELECT doc_id, text, n, unnest(range(0, least(c, 100))) AS i FROM s), y AS (SELECT *, substring(text, CAST(i * 1800 + 1 AS BIGINT), 2000) AS w FROM x),
+    x AS (SELECT doc_id, text, n, unnest(range(0, c)) AS i FROM s), y AS (SELECT *, substring(text, CAST(i * 1800 + 1 AS BIGINT), 2000) AS w FROM x),
     z AS (SELECT *, CASE WHEN i * 1800 + 2000 < n AND contains(w, ' ') AND length(w) - strpos(reverse(w), ' ') > 1000 THEN i * 1800 + length(w) - strpos(reverse(w), ' ') ELSE least(i * 1800 + 2000, n) END AS e FROM y)"""
 
 
@@ -481,7 +481,7 @@ _CHUNKS = """s AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text
     CAST(i AS INT) AS chunk_index, CAST(i * 1800 AS INT) AS start_offset, CAST(e AS INT) AS end_offset, sha256(substring(text, CAST(i * 1800 + 1 AS BIGINT), CAST(e - i * 1800 AS BIGINT))) AS content_sha256 FROM z"""
 )
 def chunk_documents(w):
-    rows = retrieval.chunk_records(w["documents"].select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")))
+    rows = retrieval.chunk_records(w["documents"].select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")), most=None)
     return rows.select("chunk_id", "source_id", F.col("chunk_index").cast("int"), F.col("start_offset").cast("int"), F.col("end_offset").cast("int"), "content_sha256")
 
 
@@ -501,7 +501,7 @@ def index_run(w):
     docs = w["documents"].select(F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
     old = docs.where("source_id % 10 < 8").select("source_id", F.when(F.col("source_id") % 10 < 3, F.lit("stale")).otherwise(F.sha2("content", 256)).alias("content_sha256"))
     fresh = retrieval.to_index(docs, old)
-    return retrieval.index_manifest(docs, fresh, retrieval.chunk_records(fresh))
+    return retrieval.index_manifest(docs, fresh, retrieval.chunk_records(fresh, most=None))
 
 
 @query(

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narrata.functions import documents
 from narrata.functions.times import DAY, SECOND, micros, stamp
-from narrata.operators import grams, history, intervals, ordered
+from narrata.operators import evidence, grams, history, intervals, observed, ordered, sampling, sketches
 from narrata.plans.corpus import query
+from narrata.sources.shared import scratch
+from narrata.streaming import runloop
 
 _ATTRIBUTES = ["source", "segment", "city", "balance"]
 _CHAIN = ["client_id", *_ATTRIBUTES, "ValidFromUtc", "ValidToUtc", "VersionNum", "IsActive", "IsLatest"]
@@ -127,3 +130,131 @@ def name_mentions(w):
     texts = w["documents"].select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
     names = w["nation"].select(F.lower("n_name").alias("name")).union(w["part"].select(F.lower("p_name"))).union(w["benchmark"].select(F.lower("text"))).union(w["clients"].select(F.lower("city")))
     return grams.containing(texts, names).select("name", F.col("text_id").alias("doc_id"))
+
+
+@query()
+def fetch_loop(w):
+    """A client's clicks of an hour as requests for one item and as results of its fetches, in four batches by arrival."""
+    hour = F.date_format("arrived_at", "yyyy-MM-dd HH")
+    clicks = w["clicks"].where("click_id IS NOT NULL AND client_id IS NOT NULL AND arrived_at IS NOT NULL").dropDuplicates(["click_id"])
+    rows = clicks.select(
+        F.concat_ws(":", F.col("client_id").cast("string"), hour).alias("item"),
+        F.col("arrived_at").alias("at"),
+        F.col("click_id").alias("seq"),
+        F.when(F.col("kind") == "error", 503).when(F.col("kind").isin("click", "purchase"), 200).cast("int").alias("status_code"),
+        F.least(F.lit(3), F.greatest(F.lit(0), F.month("arrived_at") - 1)).alias("batch"),
+    )
+    return runloop.replay(rows, 4)
+
+
+@query(
+    """WITH c AS (SELECT click_id, props, coalesce(json_valid(props), FALSE) AS ok FROM clicks), j AS (SELECT *, CASE WHEN ok THEN CAST(props AS JSON) END AS x FROM c)
+    SELECT click_id, TRY_CAST(json_extract_string(x, '$.k') AS INT) AS k, json_extract_string(x, '$.device.os') AS os, json_extract_string(x, '$.device.ver') AS ver,
+      CASE WHEN json_type(x, '$.tags') = 'ARRAY' THEN CAST(json_array_length(x, '$.tags') AS INT) END AS n_tags,
+      CASE WHEN json_type(x, '$.items') = 'ARRAY' THEN coalesce(CAST(list_sum(CAST(json_extract(x, '$.items[*].qty') AS BIGINT[])) AS BIGINT), 0) END AS quantity,
+      CASE WHEN props IS NULL THEN 'missing' WHEN NOT ok THEN 'broken' END AS props_fault FROM j"""
+)
+def click_attributes(w):
+    """What the clicks' JSON says, by typed paths."""
+    paths = {"k": ("$.k", "int"), "os": ("$.device.os", "string"), "ver": ("$.device.ver", "string"), "_tags": ("$.tags", "array<variant>"), "_items": ("$.items", "array<struct<sku:long,qty:long>>")}
+    found = documents.attributes(w["clicks"].select("click_id", "props"), "props", paths)
+    quantity = F.aggregate("_items", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["qty"], F.lit(0)))
+    n_tags = F.when(F.col("_tags").isNotNull(), F.size("_tags"))
+    return found.select("click_id", "k", "os", "ver", n_tags.alias("n_tags"), quantity.alias("quantity"), "props_fault")
+
+
+@query()
+def props_shape(w):
+    """The schema that the JSON of each kind of click has together."""
+    return documents.shape(w["clicks"], "props", "kind")
+
+
+@query(
+    r"""WITH l AS (SELECT click_id, props, CASE WHEN json_valid(props) THEN array_to_string(list_transform(string_split(json_pretty(CAST(props AS JSON)), chr(10)),
+      lambda l: repeat(' ', (length(l) - length(ltrim(l))) // 2) || ltrim(l)), chr(10)) END AS t FROM clicks),
+    p AS (SELECT click_id, coalesce(array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) > 127 THEN '\u' || printf('%04x', unicode(c)) ELSE c END), ''), props) AS t FROM l)
+    SELECT click_id, length(t) AS n_chars, left(t, 60) AS begins FROM p"""
+)
+def json_texts(w):
+    """The clicks' JSON laid out for reading, cut at 60 bytes."""
+    rows = w["clicks"].select("click_id", "props", documents.readable("props").alias("t"))
+    return rows.select("click_id", F.length("t").cast("long").alias("n_chars"), documents.truncate_bytes(F.col("t"), 60).alias("begins"))
+
+
+@query(
+    """SELECT coalesce(kind, 'none') AS kind, count(*) AS n, count(DISTINCT client_id) AS n_clients, TRUE AS clients_near, TRUE AS median_near, TRUE AS top_near
+    FROM clicks GROUP BY 1"""
+)
+def sketch_accuracy(w):
+    """Sketches of each day and kind, merged by kind, and whether their estimates are within the bounds of the exact figures.
+
+    Distinct clients within 5 percent and 2; the median's rank within 5 percent; the most frequent client is
+    the sketch's first, with its very count.
+    """
+    clicks = w["clicks"].select(F.coalesce("kind", F.lit("none")).alias("kind"), F.to_date("arrived_at").alias("day"), "client_id", "value")
+    daily = sketches.sketched(clicks, ["day", "kind"], "client_id", "value")
+    found = sketches.merged(daily, ["kind"], [0.5])
+    exact = clicks.groupBy("kind").agg(F.count_distinct("client_id").alias("n_clients"))
+    ranks = clicks.where("value IS NOT NULL").join(F.broadcast(found.select("kind", "q_50")), "kind").groupBy("kind").agg(F.avg((F.col("value") <= F.col("q_50")).cast("double")).alias("rank"))
+    most = clicks.where("client_id IS NOT NULL").groupBy("kind", "client_id").agg(F.count(F.lit(1)).alias("c")).groupBy("kind").agg(F.max("c").alias("most"))
+    return found.join(exact, "kind").join(ranks, "kind").join(most, "kind").select(
+        "kind", "n", "n_clients",
+        (F.abs(F.col("n_items") - F.col("n_clients")) <= 0.05 * F.col("n_clients") + 2).alias("clients_near"),
+        (F.abs(F.col("rank") - 0.5) <= 0.05).alias("median_near"),
+        (F.col("top")[0]["count"] == F.col("most")).alias("top_near"),
+    )
+
+
+@query(
+    """SELECT sale_id, status, total FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY md5(concat_ws(chr(1), 'a', CAST(sale_id AS VARCHAR)))) AS i FROM sales) WHERE i <= 50"""
+)
+def stratified_sales(w):
+    """Fifty sales of each status."""
+    return sampling.bottom_k(w["sales"], ["status"], ["sale_id"], 50, "a").select("sale_id", "status", "total")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE status = 'done') AS done, CAST(sum(CAST(round(total * 100) AS BIGINT)) AS BIGINT) AS cents, max(sold_at) AS newest FROM sales")
+def observed_metrics(w):
+    """Figures of a run that come from the job that writes its rows."""
+    cents = F.sum(F.round(F.col("total") * 100).cast("long"))
+    found = observed.written(w["sales"], scratch(w.spark, "sales"), {"n": F.count(F.lit(1)), "done": F.count_if(F.col("status") == "done"), "cents": cents, "newest": F.max("sold_at")})
+    return w.spark.createDataFrame([tuple(found[c] for c in ("n", "done", "cents", "newest"))], "n long, done long, cents long, newest timestamp_ntz")
+
+
+@query(
+    """WITH o AS (SELECT item_id, '{"sale_id": ' || to_json(sale_id) || ', "line_no": ' || to_json(line_no) || ', "quantity": ' || coalesce(to_json(quantity), 'null') || ', "flag": ' || coalesce(to_json(flag), 'null') || '}' AS line,
+      row_number() OVER (PARTITION BY item_id ORDER BY sale_id NULLS FIRST, line_no NULLS FIRST, quantity NULLS FIRST, flag NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n FROM sale_lines WHERE item_id IS NOT NULL AND sale_id IS NOT NULL AND line_no IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos FROM o WHERE n <= 12 OR (i % greatest(n // 12, 1) = 0 AND i < greatest(n // 12, 1) * 12))
+    SELECT item_id, n AS total_rows, count(*) AS sampled_rows, md5('SQL Result Set (' || n || ' rows, 4 columns)' || chr(10) || 'Columns: sale_id, line_no, quantity, flag' || chr(10) || chr(10) || 'Sampling: ' ||
+      CASE WHEN n <= 12 THEN 'All rows included' ELSE 'Every ' || greatest(n // 12, 1) || 'th row (sampled ' || count(*) || ' of ' || n || ')' END || chr(10) || chr(10) || string_agg('Row ' || pos || ': ' || line, chr(10) ORDER BY pos)) AS text_md5
+    FROM k GROUP BY item_id, n"""
+)
+def result_evidence(w):
+    """Each item's sale lines as a query's result: bounded text, every so many-th row."""
+    lines = w["sale_lines"].where("item_id IS NOT NULL AND sale_id IS NOT NULL AND line_no IS NOT NULL")
+    columns = ["sale_id", "line_no", "quantity", "flag"]
+    found = evidence.result_texts(lines, "item_id", columns, columns, 12, how="stride")
+    return found.select("item_id", "total_rows", "sampled_rows", F.md5("text").alias("text_md5"))
+
+
+_TEMPLATES = [("facts", 1, "old {entity_id}"), ("facts", 2, "Facts of the {entity_type} {entity_id}.\n{evidence_content}\nEnd of {entity_id}."), ("brief", 1, "{entity_id}? {entity_type}!")]
+
+
+@query(
+    """WITH i AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY change_id, seq, op) AS i FROM (SELECT DISTINCT client_id, change_id, seq, op, city FROM client_changes WHERE client_id IS NOT NULL AND change_id IS NOT NULL)),
+    e AS (SELECT client_id, count(*) AS n, string_agg('--- Evidence [inline:' || change_id || '] (type: inline_text) ---' || chr(10) || coalesce(city, '') || chr(10), chr(10) ORDER BY i) AS t FROM i WHERE i <= 5 GROUP BY client_id),
+    j AS (SELECT DISTINCT client_id FROM clients WHERE client_id IS NOT NULL)
+    SELECT CAST(client_id AS VARCHAR) AS job_id, k AS interrogation_key, coalesce(n, 0) AS n_items, CASE k WHEN 'brief' THEN CAST(client_id AS VARCHAR) || '? client!'
+      ELSE 'Facts of the client ' || client_id || '.' || chr(10) || coalesce(t, '[No evidence provided]') || chr(10) || 'End of ' || client_id || '.' END AS prompt
+    FROM (SELECT client_id, CASE client_id % 3 WHEN 0 THEN 'brief' WHEN 1 THEN 'facts' END AS k FROM j) LEFT JOIN e USING (client_id) WHERE k IS NOT NULL"""
+)
+def client_prompts(w):
+    """Prompts on clients from a registry, with five changes of each as evidence."""
+    key = F.when(F.col("client_id") % 3 == 0, "brief").when(F.col("client_id") % 3 == 1, "facts").otherwise("unknown")
+    ids = w["clients"].where("client_id IS NOT NULL").select("client_id").distinct()
+    jobs = ids.select(F.col("client_id").cast("string").alias("job_id"), key.alias("interrogation_key"), F.lit("client").alias("entity_type"), F.col("client_id").cast("string").alias("entity_id"))
+    changes = w["client_changes"].where("client_id IS NOT NULL AND change_id IS NOT NULL").select("client_id", "change_id", "seq", "op", "city").distinct()
+    few = evidence.sample_rows(changes, "client_id", ["change_id", "seq", "op"], 5)
+    items = few.select(F.col("client_id").cast("string").alias("job_id"), F.col("change_id").alias("source_ordinal"), F.concat(F.lit("inline:"), F.col("change_id").cast("string")).alias("item_id"), F.lit("inline_text").alias("evidence_type"), F.col("city").alias("content"))
+    registry = w.spark.createDataFrame(_TEMPLATES, "interrogation_key string, version int, prompt_template string")
+    return evidence.prompts(jobs, registry, items)

@@ -63,3 +63,19 @@ def read_manifests(spark: SparkSession, path: str, schema, since: str | None = N
     """The manifests, of the days from since on; newest first."""
     rows = spark.read.schema(schema).json(path)
     return (rows if since is None else rows.where(F.col("day") >= F.lit(since).cast("date"))).orderBy(F.desc("created_utc"), "run_id")
+
+
+def write_artifacts(outputs: DataFrame, path: str) -> None:
+    """Appends a run's outputs (run_id, created_utc and whatever else) as JSON, in folders by year, month, day and run."""
+    at = F.col("created_utc")
+    dated = outputs.withColumns({"year": F.date_format(at, "yyyy"), "month": F.date_format(at, "MM"), "day": F.date_format(at, "dd"), "run": safe_name(F.col("run_id"))})
+    dated.write.mode("append").partitionBy("year", "month", "day", "run").json(path)
+
+
+def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(lake_uri, text): the whole files below a folder, named by their path in it; bytes that aren't UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    below = F.substring("path", F.instr("path", whole) + len(whole), F.length("path"))
+    return files.select(below.alias("lake_uri"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

@@ -42,9 +42,39 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder of the shared file system; done already counts as done."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.exists(b) and not fs.rename(a, b):
+        raise OSError(f"{source} can't become {target}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes what is at the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def with_files(spark: SparkSession, table: str) -> None:
+    """Has a table's catalog entry dropped when the application ends, with the files written before."""
+    _TABLES.append((spark, table))
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 @atexit.register
 def _forget() -> None:
-    for spark, path in _WRITTEN:
+    for spark, table in _TABLES:
         with contextlib.suppress(Exception):  # the context may have ended
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):
+            forget(spark, path)

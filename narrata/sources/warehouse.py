@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.sources.shared import scratch
+from narrata.sources.shared import exists, scratch, with_files
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SHOP = "clicks sales sale_lines clients client_changes vendors items stamps".split()
@@ -158,6 +158,10 @@ KEYS = {"FactEvent": "EventKey", "BridgeEventParticipant": "EventKey", "BridgeEv
 
 #: Base tables as read, with their files and schema: asking for those anew would cost every query a job for each table.
 _READ: dict[tuple[str, str, str, str], DataFrame] = {}
+#: The folders of the stored tables, by catalog name.
+_STORED: dict[str, str] = {}
+#: Bytes of base data that a bucket of a stored table stands for, and bounds of their number.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 256 << 20, 8, 1 << 16
 
 
 class Warehouse:
@@ -169,7 +173,7 @@ class Warehouse:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self.planned, self.version = spark, sf_dir, {}, ""
+        self.spark, self.dir, self.planned, self.version, self.bytes = spark, sf_dir, {}, "", 0
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.planned:
@@ -200,15 +204,28 @@ class Warehouse:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{t}.parquet")
             fs = path.getFileSystem(conf)
             if fs.exists(path):
-                seen.append(f"{t} {fs.getContentSummary(path).getLength()} {fs.getFileStatus(path).getModificationTime()}")
+                size = fs.getContentSummary(path).getLength()
+                self.bytes += size if t in BASE else 0
+                seen.append(f"{t} {size} {fs.getFileStatus(path).getModificationTime()}")
         self.version = hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
         return self.version
 
     def _stored(self, name: str) -> str:
-        """The catalog name of a table of KEYS, which is loaded if it isn't there."""
-        table = f"narrata_{self._version()}_{name}".lower()
-        if not self.spark.catalog.tableExists(table):
-            buckets, key = int(self.spark.conf.get("spark.sql.shuffle.partitions")), KEYS[name]
+        """The catalog name of a table of KEYS, which is loaded if this application hasn't yet, or its files are gone.
+
+        The name is the application's own and the entry goes with the files, so that no other application
+        meets an entry that stands for nothing.
+        """
+        application = re.sub(r"\W", "_", self.spark.sparkContext.applicationId).lower()
+        table = f"narrata_{application}_{self._version()}_{name}".lower()
+        path = _STORED.get(table)
+        if path is None or not exists(self.spark, f"{path}/_SUCCESS"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            path, key = scratch(self.spark, table), KEYS[name]
+            # As many buckets as the data's size asks for, so that all tables of one folder match.
+            buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-self.bytes // BUCKET_BYTES)))
             rows = self.projected(name).repartition(buckets, key)
-            rows.write.bucketBy(buckets, key).sortBy(key).option("path", scratch(self.spark, table)).saveAsTable(table)
+            rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+            _STORED[table] = path
+            with_files(self.spark, table)
         return table

@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("P
 def spark():
     from narrata import session
 
-    s = session.local(8, "tests", **{"spark.driver.memory": "6g"})
+    s = session.local(int(os.environ.get("TEST_CPUS", "8")), "tests", **{"spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
