@@ -381,11 +381,11 @@ def _flag_rows(rows: DataFrame, flag: int) -> DataFrame:
 
 
 def _per_text(*flags: DataFrame) -> DataFrame:
-    """One row for each flagged text, with all its flags; checkpointed."""
+    """One row for each flagged text, with its distinct flags; checkpointed. Equal rows flag the same places, so their flags meet here."""
     found = flags[0]
     for other in flags[1:]:
         found = found.unionByName(other)
-    return kept(found.groupBy("r1", "r2").agg(F.concat_ws("", F.collect_list(F.hex("flags"))).alias("flags")).withColumn("flags", F.unhex("flags")))
+    return kept(found.groupBy("r1", "r2").agg(F.concat_ws("", F.collect_set(F.hex("flags"))).alias("flags")).withColumn("flags", F.unhex("flags")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), texts: bool = False) -> DataFrame:
