@@ -9,6 +9,7 @@ from narrata.functions import documents
 from narrata.functions.times import DAY, SECOND, micros, stamp
 from narrata.operators import evidence, grams, history, intervals, observed, ordered, sampling, sketches
 from narrata.plans.corpus import query
+from narrata.sources import snapshot_source
 from narrata.sources.shared import scratch
 from narrata.streaming import runloop
 
@@ -258,3 +259,17 @@ def client_prompts(w):
     items = few.select(F.col("client_id").cast("string").alias("job_id"), F.col("change_id").alias("source_ordinal"), F.concat(F.lit("inline:"), F.col("change_id").cast("string")).alias("item_id"), F.lit("inline_text").alias("evidence_type"), F.col("city").alias("content"))
     registry = w.spark.createDataFrame(_TEMPLATES, "interrogation_key string, version int, prompt_template string")
     return evidence.prompts(jobs, registry, items)
+
+
+@query(
+    """SELECT strftime(valid_at, '%Y-%m-%d') AS dt, op, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, min(valid_at) AS earliest, count(city) AS cities FROM client_changes
+    WHERE valid_at >= TIMESTAMP '2024-02-10' AND valid_at < TIMESTAMP '2024-03-20' GROUP BY ALL"""
+)
+def snapshot_days(w):
+    """The changes as a snapshot, written through the data source and read back for some days."""
+    snapshot_source.register(w.spark)
+    path, kinds = scratch(w.spark, "snapshot"), "change_id long, seq long, op string, valid_at timestamp_ntz, city string, dt string, bad_line string"
+    rows = w["client_changes"].where("valid_at IS NOT NULL").select("change_id", "seq", "op", "valid_at", "city", F.date_format("valid_at", "yyyy-MM-dd").alias("dt"), F.lit(None).cast("string").alias("bad_line"))
+    rows.write.format("narrata_snapshot").mode("append").save(path)
+    found = w.spark.read.format("narrata_snapshot").schema(kinds).load(path).where("dt >= '2024-02-10' AND dt < '2024-03-20' AND bad_line IS NULL")
+    return found.groupBy("dt", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.min("valid_at").alias("earliest"), F.count("city").alias("cities"))
