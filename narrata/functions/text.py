@@ -204,15 +204,28 @@ def content_hash(kind: Column, system: Column, entity: Column, key: Column, requ
     return F.sha2(canonical_json(body), 256)
 
 
-def natural_uuid(namespace: str, *key: Column) -> Column:
-    """UUIDv5 of a natural key's values in a namespace (schema.table)."""
-    base = uuid.uuid5(uuid.NAMESPACE_DNS, namespace)
+def _quoted(value: Column) -> Column:
+    """A text as a JSON string: quotes, backslashes and control characters escaped, all else as it is."""
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    clean = out
+    for c in range(32):
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(short.get(c, f"\\u{c:04x}")))
+    return F.concat(F.lit('"'), F.when(F.regexp_like(value, F.lit("[\\x00-\\x1f]")), clean).otherwise(out), F.lit('"'))
+
 
-    @F.pandas_udf(T.StringType())
-    def make(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: str(uuid.uuid5(base, json.dumps([str(x) for x in v], ensure_ascii=False))))
+def natural_uuid(namespace: str, *key: Column) -> Column:
+    """UUIDv5 of a natural key's values in a namespace (schema.table); a null value reads as None.
 
-    return make(F.array(*(F.coalesce(k.cast("string"), F.lit("None")) for k in key)))
+    The first sixteen bytes of a SHA-1, with the version and the variant in their places.
+    """
+    base = uuid.uuid5(uuid.NAMESPACE_DNS, namespace).hex
+    parts = [_quoted(F.coalesce(k.cast("string"), F.lit("None"))) for k in key]
+    name = F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
+    digits = F.sha1(F.concat(F.unhex(F.lit(base)), F.encode(name, "UTF-8")))
+    cut = lambda at, n: F.substring(digits, at, n)
+    variant = F.translate(cut(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(variant, cut(18, 3)), cut(21, 12))
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,6 +92,14 @@ def clean_identifiers(w):
     return w["pages"].select("url", F.regexp_like("url", F.lit(r"^https?://[^/]*example\.org/")).cast("int").alias("is_org"), graph.clean_identifier(F.col("url")).alias("last_part"))
 
 
+@query("SELECT url, '10.5555/' || regexp_replace(lower(regexp_extract(url, '[^/]*$')), '[^a-z0-9]', '.', 'g') AS doi, list_extract(string_split(url, '/'), -1) AS plain FROM pages")
+def clean_dois(w):
+    """Identifiers behind resolvers of either kind, and addresses that are none."""
+    doi = F.concat(F.lit("10.5555/"), F.regexp_replace(F.lower(F.regexp_extract("url", "[^/]*$", 0)), "[^a-z0-9]", "."))
+    resolver = F.when(F.length("url") % 3 == 0, "https://doi.org/").when(F.length("url") % 3 == 1, "http://dx.doi.org/").otherwise("HTTPS://DOI.ORG/")
+    return w["pages"].select("url", graph.clean_identifier(F.concat(resolver, doi)).alias("doi"), graph.clean_identifier(F.col("url")).alias("plain"))
+
+
 def _items(w) -> DataFrame:
     return w["events"].select(
         text.dedupe_key(F.lit("sys"), F.lit("events"), F.col("event_type"), F.col("user_id").cast("string")).alias("dedupe_key"),
@@ -106,11 +115,11 @@ _ITEMS = """items AS (SELECT 'sys:events:' || event_type || ':' || CAST(user_id
     CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' ELSE 'failed' END AS status, CAST(event_id % 4 AS INT) AS attempt FROM events)"""
 
 
-@query(f"""WITH {_ITEMS}, k AS (SELECT DISTINCT dedupe_key FROM items WHERE event_id < 100), n AS (SELECT dedupe_key, priority, event_id, row_number() OVER (PARTITION BY dedupe_key ORDER BY priority, event_id) AS i
-    FROM items WHERE event_id >= 100) SELECT dedupe_key, priority, event_id FROM n WHERE i = 1 AND dedupe_key NOT IN (SELECT dedupe_key FROM k)""")
+@query(f"""WITH {_ITEMS}, k AS (SELECT DISTINCT dedupe_key FROM items WHERE status = 'completed' AND priority = 1), n AS (SELECT dedupe_key, priority, event_id, row_number() OVER (PARTITION BY dedupe_key ORDER BY priority, event_id) AS i
+    FROM items WHERE status <> 'completed' OR priority <> 1) SELECT dedupe_key, priority, event_id FROM n WHERE i = 1 AND dedupe_key NOT IN (SELECT dedupe_key FROM k)""")
 def enqueue_dedupe(w):
-    items = _items(w).select("dedupe_key", "priority", "event_id")
-    return queue.enqueue(items.where("event_id < 100"), items.where("event_id >= 100"))
+    items, columns = _items(w), ["dedupe_key", "priority", "event_id"]
+    return queue.enqueue(items.where("status = 'completed' AND priority = 1").select(*columns), items.where("status <> 'completed' OR priority <> 1").select(*columns))
 
 
 @query(f"WITH {_ITEMS} SELECT * FROM items WHERE status = 'pending' ORDER BY priority, created_at, dedupe_key LIMIT 25")
@@ -305,7 +314,14 @@ def row_hash(w):
     return w["nation"].select("n_nationkey", text.row_hash(w["nation"]).alias("row_hash"))
 
 
-@query()
+_GUID = f"""sha1(unhex('{uuid.uuid5(uuid.NAMESPACE_DNS, "dbo.DimWork").hex}') || encode('["' || n_name || '"]'))"""
+
+
+@query(
+    f"""WITH h AS (SELECT *, {_GUID} AS h FROM nation)
+    SELECT n_nationkey, n_name, n_regionkey, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || translate(substring(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS WorkGuid,
+      sha256('n_name=' || n_name || '|n_nationkey=' || CAST(n_nationkey AS VARCHAR) || '|n_regionkey=' || CAST(n_regionkey AS VARCHAR)) AS RowHash FROM h"""
+)
 def seed_prepare(w):
     return seeds.prepare(w["nation"], "dbo.DimWork", ["n_name"], "WorkGuid")
 
@@ -532,10 +548,13 @@ def exact_dedupe_by_hash(w):
     return w["documents"].groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey >= 500 UNION ALL SELECT o_orderkey + 250, o_custkey, 'X' FROM orders WHERE o_orderkey < 500 AND o_orderkey + 250 < 500 UNION ALL SELECT o_orderkey + 250, o_custkey, 'X' FROM orders WHERE o_orderkey >= 250 AND o_orderkey < 500 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey < 250 EXCEPT ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey >= 500 AND o_orderkey < 750")
+@query(
+    """WITH f AS (SELECT o_orderkey + 250 AS o_orderkey, o_custkey, 'X' AS o_orderstatus FROM orders WHERE o_orderstatus = 'F')
+    SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ANTI JOIN f USING (o_orderkey) UNION ALL SELECT * FROM f"""
+)
 def upsert_orders(w):
     rows = w["orders"].select("o_orderkey", "o_custkey", "o_orderstatus")
-    fresh = rows.where("o_orderkey < 500").select((F.col("o_orderkey") + 250).alias("o_orderkey"), "o_custkey", F.lit("X").alias("o_orderstatus"))
+    fresh = rows.where("o_orderstatus = 'F'").select((F.col("o_orderkey") + 250).alias("o_orderkey"), "o_custkey", F.lit("X").alias("o_orderstatus"))
     return snapshot.upsert(rows, fresh, "o_orderkey")
 
 

@@ -374,3 +374,11 @@ def test_runs_that_ended_stay(spark):
 def test_sampled_columns(spark):
     rows = spark.createDataFrame([(1, i, i) for i in range(9)], "g int, a int, b int")
     assert evidence.sample_rows(rows, "g", ["a"], 4, "first_last", 2).columns == ["g", "a"]
+
+
+def test_natural_uuids_of_odd_keys(spark):
+    keys = ["", "a\"b\\c/d", "é🙂\x7f", "tab\tnew\nline\r\b\f", "".join(map(chr, range(1, 32))), "\\u000b \x0b", None]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    got = [r[0] for r in df.orderBy("i").select(text.natural_uuid("dbo.T", F.col("k"), F.col("i"))).collect()]
+    base = uuid.uuid5(uuid.NAMESPACE_DNS, "dbo.T")
+    assert got == [str(uuid.uuid5(base, json.dumps([str(k), str(i)], ensure_ascii=False))) for i, k in enumerate(keys)]
