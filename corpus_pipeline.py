@@ -24,11 +24,23 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Repeated rows are one."""
+    """One document of each group of near duplicates: that of the smallest doc_id. Repeated rows are one.
+
+    Different texts of one doc_id are different documents: one of them goes by the doc_id, the others by ids
+    of their own beyond all others, so that each is judged by its own text.
+    """
     docs = _one_of_each(docs)
-    found = neardup.near_duplicates(docs)
-    gone = measured(kept(found.where("not kept").select("doc_id").distinct()))
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    plain, names = _numbered(docs)
+    several = plain.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.xxhash64("text")).alias("_first"))
+    several = measured(kept(several.where("_n > 1").drop("_n")))
+    told = plain.join(several, F.col("doc_id") == F.col("_id"), "left")
+    other = F.col("_id").isNotNull() & (F.xxhash64("text") != F.col("_first"))
+    own = F.when(other, F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 61))).otherwise(F.col("doc_id").cast("long"))
+    told = told.withColumn("_own", own).drop("_id", "_first")
+    found = neardup.near_duplicates(told.select(F.col("_own").alias("doc_id"), "text"))
+    gone = measured(kept(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()))
+    left = told.join(gone, F.col("_own") == F.col("_gone"), "left_anti")
+    return left.select(*(F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)))
 
 
 def _one_of_each(docs: DataFrame) -> DataFrame:
