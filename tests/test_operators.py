@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from narrata.functions import text
-from narrata.operators import evidence, graph, queue, retrieval, seeds, snapshot
+from narrata.operators import evidence, grams, graph, queue, retrieval, seeds, snapshot
 from narrata.sources import records
 
 
@@ -333,7 +333,7 @@ def test_closure_has_no_depth_limit_and_refuses_cycles(spark):
 
 
 def test_names_in_whole_texts(spark, monkeypatch):
-    monkeypatch.setattr(graph, "NAMES_BYTES", 40)  # several machines
+    monkeypatch.setattr(grams, "DEALT", 1)  # several parts
     titles = ["x " * 5000 + "Tatooine end", "nothing here", None, "alDERaan", ""]
     works = spark.createDataFrame([(i, t, ["hoth"] if i == 1 else None, f"id{i}") for i, t in enumerate(titles)], "work_id long, title string, concepts array<string>, identifier string")
     entities = spark.createDataFrame([("tatooine",), ("Alderaan",), ("Hoth",), ("",), (None,), ("zz",)], "entity string")
