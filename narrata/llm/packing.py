@@ -17,6 +17,8 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
+from struct import pack as pack_ids
 from zlib import crc32
 
 import numpy as np
@@ -76,11 +78,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        self.model = self.tool.model
         self.runs, self.parts = Remembered(self._runs), Remembered(self._library)
 
     def _library(self, words: list[bytes]) -> Iterator[bytes]:
-        for i in range(0, len(words), CALL):
-            some = [w.decode() for w in words[i : i + CALL]]
+        """The ids of words: of lower-case letters alone by the library's model, others by the whole tokenizer."""
+        others = iter([w for w in words if not w.isalpha()])
+        whole = self._whole(others)
+        for w in words:
+            if w.isalpha():  # of ASCII letters: nothing to normalise or to split
+                ids = [t.id for t in self.model.tokenize(w.decode())]
+                yield pack_ids(f"<{len(ids)}I", *ids)
+            else:
+                yield next(whole)
+
+    def _whole(self, words: Iterator[bytes]) -> Iterator[bytes]:
+        while some := [w.decode() for w in islice(words, CALL)]:
             found = self.tool.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))).tolist()
