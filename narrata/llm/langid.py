@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.llm.common import arrow_schema, columns_of, cuts, map_rows, ready
+from narrata.llm.common import arrow_schema, columns_of, cuts, kept, map_rows, measured, ready
 
 PLACES = 1 << 15
 UNKNOWN = "und"
 #: Bound of the fitting sample: rows of each language at most.
 SAMPLE_PER_LANGUAGE = 800
+#: Parts that a language's rows are dealt into while the smallest hashes are sought.
+PARTS = 64
 #: Weights (places that occur in the sample, by languages) that a fit may have; beyond it raises an error.
 WEIGHTS = 24_000_000
 #: Errors of a class smaller than this leave its weights as they are.
@@ -111,7 +113,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alpha: float = 0.5, l1: float = 0.3, l2: float = 0.02, epochs: int = 4) -> Model | None:
-    """FTRL-proximal with L1 and L2 on (places, shares, language) rows; every fifth row calibrates.
+    """FTRL-proximal with L1 and L2 on (places, shares, language) rows; every fifth row of a language calibrates.
 
     None without rows. Classes whose error on a row is below LEAST_ERROR keep their weights, so a row costs
     what its rivals cost, however many classes there are.
@@ -127,7 +129,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alph
         raise ValueError(f"{len(languages)} languages with {len(used_places)} places need {size} weights; the bound is {WEIGHTS}")
     # Each row's TF-IDF vector has length one while fitting; the scale goes into the temperature.
     rows = [(at[i], x * idf[i], number[y]) for i, x, y in samples]
-    held, used = rows[::5], [r for k, r in enumerate(rows) if k % 5] or rows
+    # Every fifth row of a language is set aside, so a language of few rows is learned from all of them.
+    seen, held, used = [0] * len(languages), [], []
+    for r in rows:
+        seen[r[2]] += 1
+        (used if seen[r[2]] % 5 else held).append(r)
     shape = (len(used_places) + 2, len(languages))  # the last row is the bias
     z, n, w = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
     order = np.random.default_rng(7)
@@ -208,16 +214,22 @@ def _vectors(rows: dict[str, list]) -> dict[str, object]:
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """The model of labelled texts (doc_id, text, lang): None if there is no labelled text.
 
-    Rows without a text or a language teach nothing. Document frequencies are of all rows; the weights see a
-    sample, hashed by id and text and so the same on every run, of at most per_language rows of each language.
-    Rows that are the same in id and text fall under one draw.
+    Rows without a text or a language teach nothing. Document frequencies are of all rows; the weights see at
+    most per_language rows of each language: those of the smallest hashes of id and text, so the same ones on
+    every run, and all rows if there are no more.
     """
-    spark = labelled.sparkSession
+    ready(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().limit(WEIGHTS + 1).collect()
-    if not counts:
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text"))
+    # Each task keeps a language's smallest hashes before the shuffle, and each of PARTS parts of a language before the last one.
+    lowest, rank = drawn.select("lang", "draw", F.pmod("draw", F.lit(PARTS)).alias("part")), F.row_number()
+    for by in (["lang", "part"], ["lang"]):
+        lowest = lowest.withColumn("i", rank.over(Window.partitionBy(*by).orderBy("draw"))).where(F.col("i") <= per_language)
+    cut = kept(lowest.groupBy("lang").agg(F.max("draw").alias("cut")))
+    n = cut.count()
+    if not n:
         return None
-    if len(counts) > WEIGHTS:
+    if n > WEIGHTS:
         raise ValueError(f"more than {WEIGHTS} languages")
     found = rows.select("text").mapInArrow(_document_frequencies, _FREQUENCY).groupBy("place").agg(F.sum("n").alias("n")).collect()
     total = next((r["n"] for r in found if r["place"] == -1), 0)
@@ -226,13 +238,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
         if r["place"] >= 0:
             df[r["place"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    # A draw somewhat larger than the bound, then the bound itself.
-    share = spark.createDataFrame([(r["lang"], min(1.0, 1.2 * per_language / r["count"])) for r in counts], "y string, share double")
-    draw = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text")
-    drawn = rows.withColumn("draw", draw).join(F.broadcast(share), F.col("lang") == F.col("y"))
-    drawn = drawn.where(F.pmod("draw", F.lit(1 << 40)) < F.col("share") * (1 << 40)).select("lang", "text", "draw")
-    order = Window.partitionBy("lang").orderBy("draw")
-    chosen = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).select("text", "lang")
+    chosen = drawn.join(measured(cut, "octet_length(lang)"), "lang").where("draw <= cut").withColumn("i", rank.over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("i") <= per_language).select("text", "lang")
     vectors = map_rows(chosen, _vectors, _ROW).collect()
     vectors.sort(key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["shares"])))
     samples = [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["shares"], np.float32), r["lang"]) for r in vectors]
