@@ -60,13 +60,15 @@ class Block:
     links: int = 0
     text: str = ""
     inner: bool = False  # in the page's article, or in the container with most prose
-    features: set[str] = field(default_factory=set)
+    pieces: list[str] = field(default_factory=list)
+    features: tuple[str, ...] = ()  # of the block itself, besides those of the elements around it
 
 
 @dataclass
 class Page:
-    """The elements (name, parent, words of class, id and role, words in all) and the tokens of a page.
+    """The elements (name, parent, words of class, id and role, words in all, features) and the tokens of a page.
 
+    An element's features are those that none of the elements around it has, so that depth costs nothing.
     A token is (tag, None) or ('', block).
     """
 
@@ -74,6 +76,7 @@ class Page:
     parents: list[int] = field(default_factory=lambda: [0])
     said: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     words: list[int] = field(default_factory=lambda: [0])
+    features: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     tokens: list[tuple[str, Block | None]] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
 
@@ -109,7 +112,7 @@ def parse(page: str) -> Page:
             out.blocks.append(block)
             out.tokens.append(("", block))
         text = html.unescape(text)
-        block.text += text
+        block.pieces.append(text)
         if links:
             block.links += len(text.split())
 
@@ -165,6 +168,7 @@ def parse(page: str) -> Page:
             shut[name] += 1
             links += name == "a"
     for b in out.blocks:
+        b.text, b.pieces = "".join(b.pieces), []
         b.words = len(b.text.split())
         out.words[b.element] += b.words
     for e in range(len(out.names) - 1, 0, -1):  # parents come before their children
@@ -177,7 +181,7 @@ def _bucket(n: int) -> int:
 
 
 def describe(page: Page) -> None:
-    """Fills in the features of every block. What is said of an element holds for all in it, so each is looked at once."""
+    """Fills in the features of elements and blocks. What is said of an element holds for all in it, so each is looked at once."""
     names, parents, n = page.names, page.parents, len(page.names)
     total = max(1, page.words[0])
     furniture, article, plain, best_in = [False] * n, [False] * n, [False] * n, [False] * n
@@ -197,22 +201,26 @@ def describe(page: Page) -> None:
     # Whether the page's article is one: most pages that have the element keep the story in it.
     held = sum(b.words for b in page.blocks if article[b.element]) / total
     page_has = "none" if not any(article) else "most" if held >= 0.3 else "some"
-    around: list[frozenset[str]] = [frozenset()] * n
+    page.features = [()] * n
+    path, active = [0], set()  # the elements around the current one, and what they say
     for e in range(1, n):
         up = parents[e]
+        while path[-1] != up:
+            active.difference_update(page.features[path.pop()])
         best_in[e] = best_in[up] or e == best
         size = "inner" if article[up] else "big" if page.words[e] >= 0.5 * total else "small"
         own = {f"t:{names[e]}", *(f"{w}@{size}" for w in page.said[e])}
         if article[up] and names[e] in FURNITURE:
             own.add("art:furniture")
-        around[e] = around[up] if own <= around[up] else around[up] | own
+        page.features[e] = tuple(own - active)
+        active.update(page.features[e])
+        path.append(e)
     seen = False
     for i, b in enumerate(page.blocks):
         e = b.element
         seen = seen or best_in[e]
         b.inner = best_in[e] or (article[e] and page_has == "most")
-        b.features = {
-            *around[e],
+        b.features = (
             f"in:{page_has}:{article[e]}",
             f"plain:{plain[e]}",
             f"best:{best_in[e]}:{page_has == 'most'}",
@@ -227,7 +235,7 @@ def describe(page: Page) -> None:
             f"next:{_bucket(page.blocks[i + 1].words) if i + 1 < len(page.blocks) else 'none'}",
             f"sign:{'©' in b.text}",
             "all",
-        }
+        )
 
 
 @dataclass
@@ -237,9 +245,22 @@ class Weights:
     block: dict[str, float]
     tag: dict[str, float]
 
-    def score(self, block: Block) -> float:
+    def scores(self, page: Page) -> list[float]:
+        """Of the page's blocks: what the elements around say is summed up on the way down."""
         get = self.block.get
-        return sum(get(f, 0.0) for f in block.features)
+        around = [0.0] * len(page.names)
+        for e in range(1, len(around)):
+            around[e] = around[page.parents[e]] + sum(get(f, 0.0) for f in page.features[e])
+        return [around[b.element] + sum(get(f, 0.0) for f in b.features) for b in page.blocks]
+
+
+def features_of(page: Page, block: Block) -> set[str]:
+    """All features of a block: its own and those of the elements around it."""
+    out, e = set(block.features), block.element
+    while e:
+        out.update(page.features[e])
+        e = page.parents[e]
+    return out
 
 
 def learn(labelled: list[tuple[str, str]], strength: float = 0.3, rounds: int = 9) -> Weights:
@@ -253,7 +274,7 @@ def learn(labelled: list[tuple[str, str]], strength: float = 0.3, rounds: int =
         page, have = parse(source), " ".join(main.split())
         describe(page)
         truth = [" ".join(b.text.split()) in have for b in page.blocks]
-        rows += [b.features for b in page.blocks]
+        rows += [features_of(page, b) for b in page.blocks]
         target += truth
         within = [k for k, (name, b) in enumerate(page.tokens) if b is not None and " ".join(b.text.split()) in have]
         for k, (name, b) in enumerate(page.tokens):
@@ -263,14 +284,23 @@ def learn(labelled: list[tuple[str, str]], strength: float = 0.3, rounds: int =
                 inside[name] += bool(within) and within[0] < k < within[-1]
     names = sorted(set().union(*rows))
     number = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        x[i, [number[f] for f in r]] = 1
-    y, w = np.array(target, float), np.zeros(len(names))
+    # Blocks that look the same are one row, with how many of them are inside.
+    alike: dict[frozenset[str], list[int]] = {}
+    for r, inner in zip(rows, target, strict=True):
+        n = alike.setdefault(frozenset(r), [0, 0])
+        n[0] += 1
+        n[1] += inner
+    # Rows have few features of many, so products are summed over the features, and pairs of them, that rows have.
+    has = [np.array([number[f] for f in r]) for r in alike]
+    size, k = np.array([len(r) for r in has]), len(names)
+    of, at = np.repeat(np.arange(len(has)), size), np.concatenate(has)
+    pairs = np.concatenate([(r[:, None] * k + r).ravel() for r in has])
+    of_pair = np.repeat(np.arange(len(has)), size * size)
+    (m, y), w = np.array(list(alike.values()), float).T, np.zeros(k)
     for _ in range(rounds):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + strength * w
-        bend = x.T @ (x * (p * (1 - p))[:, None]) + strength * np.eye(len(names))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[at]), -30, 30)))
+        slope = np.bincount(at, (m * p - y)[of], k) + strength * w
+        bend = np.bincount(pairs, (m * p * (1 - p))[of_pair], k * k).reshape(k, k) + strength * np.eye(k)
         w = w - np.linalg.solve(bend, slope)
     tags = {t: min(TAG_MOST, max(TAG_LEAST, TAG_SCALE * float(np.log((inside[t] + 0.5) / (seen[t] - inside[t] + 0.5)) - 1))) for t in seen}
     return Weights({f: float(v) for f, v in zip(names, w, strict=True)}, tags)
@@ -455,7 +485,7 @@ def main_text(source: str | None, w: Weights | None = None) -> str:
     w = w or weights()
     page = parse(source)
     describe(page)
-    odds = {id(b): max(WORD_LEAST, w.score(b)) for b in page.blocks}
+    odds = {id(b): max(WORD_LEAST, x) for b, x in zip(page.blocks, w.scores(page), strict=True)}
     scores, run, most = [], 0.0, INNER_BRIDGE
     for name, b in page.tokens:
         s = w.tag.get(name.removeprefix("/"), TAG_LEAST / 2) if b is None else min(WORD_MOST, odds[id(b)]) * b.words

@@ -306,3 +306,28 @@ def test_pages_of_the_table(spark, sf):
 def test_extract_keeps_rows_and_drops_clashes(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<article><p>hi</article>", "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract(pages).fillna(-1).fillna("").collect()) == [(-1, "u", "", 0), (1, "", "", 0), (1, "u", "hi", 2)]
+
+
+def test_deep_pages_and_many_inline_tags_stay_linear():
+    """20 000 nested elements, each with a class of its own, and a block of very many pieces."""
+    import tracemalloc
+
+    own = lambda i: "".join(chr(97 + int(d)) for d in str(i)) + "x"
+    deep = "<article>" + "".join(f"<div class={own(i)}>" for i in range(20_000)) + "<p>The story is told here, at the end of it all.</p>"
+    weights = html_text.weights()
+    tracemalloc.start()
+    html_text.main_text(deep, weights)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20
+    many = "<article><p>" + "<b>word</b> and " * 40_000 + "the end.</p></article>"
+    assert html_text.main_text(many, weights) == "word and " * 40_000 + "the end."
+
+
+def test_features_around_a_block_count_once():
+    page = html_text.parse('<div class="story"><div class="story"><p>One two three four five.</p></div><p>More.</p></div>')
+    html_text.describe(page)
+    first, second = (html_text.features_of(page, b) for b in page.blocks)
+    assert "t:p" in first and "t:p" in second and sum(f.startswith("t:div") for f in first) == 1
+    w = html_text.Weights({f: 1.0 for f in first | second}, {})
+    assert w.scores(page) == [len(first), len(second)]
