@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes, up to which a side is broadcast.
 FEW, FEW_BYTES = 100_000, 32 << 20
+#: The same for a side whose keys many rows lack: a shuffle would send those to one task.
+FEW_OUTER, FEW_OUTER_BYTES = 1_000_000, 64 << 20
 
 
-def few(df: DataFrame, row_bytes: str = "0") -> DataFrame:
+def few(df: DataFrame, row_bytes: str = "0", rows: int = FEW, most_bytes: int = FEW_BYTES) -> DataFrame:
     """The frame with a broadcast hint if it has few rows and bytes; else as it is, for Spark to plan.
 
     row_bytes is SQL for the bytes of a row's texts and arrays.
     """
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.expr(row_bytes).cast("long") + 32)).first()
-    return F.broadcast(df) if n <= FEW and (size or 0) <= FEW_BYTES else df
+    return F.broadcast(df) if n <= rows and (size or 0) <= most_bytes else df
 
 
 def most_of_group(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -103,3 +103,46 @@ def test_joins_on_the_bucket_key_need_no_exchange(spark, sf):
     t = Views(spark, sf).tables
     joined = t["BridgeEventParticipant"].select("EventKey", "EntityKey").hint("merge").join(t["FactEvent"].select("EventKey", "SceneKey"), "EventKey")
     assert "Exchange" not in plan_of(joined)
+
+
+def test_stored_tables_hold_no_columns_made_of_others(spark, sf):
+    """Guids don't compress: they are made when read, and equal the projection's."""
+    t = Views(spark, sf).tables
+    assert "EntityGuid" not in spark.table(t._stored("DimEntity")).columns
+    assert t["DimEntity"].columns == t.projected("DimEntity").columns
+    assert t["DimEntity"].exceptAll(t.projected("DimEntity")).count() == 0
+
+
+def test_event_views_shuffle_their_rows_once(spark, sf, monkeypatch):
+    """With no side small enough to broadcast, but for the fixed ones, only the join with entities moves rows."""
+    from narrata.operators import relational
+
+    monkeypatch.setattr(relational, "few", lambda df, *bounds: df)
+    for name in ("sem_event_participant", "learn_event_participants"):
+        text = plan_of(Views(spark, sf)[name])
+        assert text.count("Exchange hashpartitioning") == 1, name
+
+
+def test_rows_without_a_location_stay_where_they_are(spark, sf):
+    """No shuffle by location: an eighth of the events has none and would meet in one task."""
+    assert "Exchange hashpartitioning" not in plan_of(Views(spark, sf)["sem_event"].hint("merge"))
+
+
+@pytest.mark.parametrize("name", ["sem_event_participant", "sem_event_asset", "mart_event_interactions", "mart_asset_lifecycle"])
+def test_shared_event_keys_are_joined(spark, sf, tmp_path, name):
+    """An order that is there twice, and one of more than 99 lines: the views are what SQL makes of them."""
+    import shutil
+
+    from narrata.plans.views import view_sql, with_ctes
+    from tests import oracle
+
+    for t in oracle.TABLES:
+        if t not in ("orders", "lineitem"):
+            shutil.copy(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+    orders, lines = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    orders.where("o_orderkey < 60").unionByName(orders.where("o_orderkey = 8")).write.parquet(str(tmp_path / "orders.parquet"))
+    many = lines.where("l_orderkey = 10").limit(1).crossJoin(spark.range(105).select(F.col("id").cast("int").alias("n"))).withColumn("l_linenumber", F.col("n") + 10).drop("n")
+    lines.where("l_orderkey < 60").unionByName(many).write.parquet(str(tmp_path / "lineitem.parquet"))
+    v = Views(spark, str(tmp_path))
+    assert v.tables.events() is None
+    oracle.check(v[name], oracle.connect(str(tmp_path)), with_ctes(view_sql(name)))
