@@ -21,6 +21,10 @@ STEP_CHARS = 1 << 18
 #: Rows and bytes up to which a measured side of a join is broadcast; beyond them the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+#: The same for joins of ids, which cost little to shuffle. What is broadcast passes through the driver, which holds
+#: it several times over: as it comes, as a hashed table that grows by doubling, as the blocks that are sent.
+IDS_ROWS = 250_000
+IDS_BYTES = 8 << 20
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -91,15 +95,28 @@ def _forget() -> None:
             forget(spark, path)
 
 
-def small(df: DataFrame, row_bytes: str = "0") -> bool:
+def small(df: DataFrame, row_bytes: str = "0", rows: int | None = None, most_bytes: int | None = None) -> bool:
     """Whether a kept frame is within the broadcast bounds; row_bytes is SQL for a row's variable bytes."""
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.expr(row_bytes).cast("long") + 32)).first()
-    return (n or 0) <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    return (n or 0) <= min(rows or BROADCAST_ROWS, BROADCAST_ROWS) and (size or 0) <= min(most_bytes or BROADCAST_BYTES, BROADCAST_BYTES)
 
 
-def measured(df: DataFrame, row_bytes: str = "0") -> DataFrame:
-    """The kept frame with a broadcast hint if its measured size allows one."""
-    return F.broadcast(df) if small(df, row_bytes) else df
+def measured(df: DataFrame, row_bytes: str = "0", rows: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """The kept frame with a broadcast hint if its measured size allows one, else with a hint to merge.
+
+    Without the latter Spark may broadcast it after all, by the size of its compressed files.
+    """
+    return F.broadcast(df) if small(df, row_bytes, rows, most_bytes) else df.hint("merge")
+
+
+def small_ids(df: DataFrame, row_bytes: str = "0") -> bool:
+    """Whether a kept frame is within the bounds for joins of ids."""
+    return small(df, row_bytes, IDS_ROWS, IDS_BYTES)
+
+
+def measured_ids(df: DataFrame, row_bytes: str = "0") -> DataFrame:
+    """measured() with the bounds for joins of ids, so that no more passes through the driver as the rows grow."""
+    return measured(df, row_bytes, IDS_ROWS, IDS_BYTES)
 
 
 def map_rows(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import kept, measured
+from narrata.llm.common import kept, measured_ids
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,10 +28,10 @@ def components(links: DataFrame) -> DataFrame:
         # Larger neighbours of every node go to its smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = kept(both.where("b > a").join(measured(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = kept(both.where("b > a").join(measured_ids(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # Smaller neighbours, and the node itself, go to the smallest.
         least = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        moved = large.join(measured(kept(least.where("n > 1").select("a", "m"))), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(measured_ids(kept(least.where("n > 1").select("a", "m"))), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = kept(least.select("a", F.col("m").alias("b")).unionByName(moved).distinct())
         # Done when every node has one link, and no link ends where another begins.
         if moved.isEmpty() and after.select("a").intersect(after.select("b")).isEmpty():

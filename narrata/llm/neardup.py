@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.llm.common import LOWER, arrow_schema, columns_of, cuts, hash_words, kept, map_rows, measured, mix, ready
+from narrata.llm.common import LOWER, arrow_schema, columns_of, cuts, hash_words, kept, map_rows, measured_ids, mix, ready, small_ids
 from narrata.llm.components import components
 
 HASHES, BAND = 128, 4
@@ -218,7 +218,7 @@ def _families(nodes: DataFrame, percent: int, miss: float) -> DataFrame:
     edges = None
     for peel in range(PEELS + 1):
         pivots = members.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "pivot")
-        paired = kept(members.join(measured(kept(pivots)), "band").where("node <> pivot"))
+        paired = kept(members.join(measured_ids(kept(pivots)), "band").where("node <> pivot"))
         pairs = paired.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         if peel == PEELS:
             return components(edges.unionByName(pairs))
@@ -226,9 +226,9 @@ def _families(nodes: DataFrame, percent: int, miss: float) -> DataFrame:
         share = kept(both.select("a", "b", "sa", "sb").mapInArrow(_agreement, _AGREE))
         close = share.where(F.col("share") >= join).select("a", "b")
         edges = close if edges is None else edges.unionByName(close)
-        rest = paired.join(measured(share.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "share")), ["node", "pivot"])
+        rest = paired.join(measured_ids(share.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "share")), ["node", "pivot"])
         open_ = rest.groupBy("band").agg(F.min("share").alias("least")).where(F.col("least") < join).select("band")
-        members = kept(rest.where(F.col("share") < STAY).join(measured(kept(open_)), "band", "left_semi").select("band", "node"))
+        members = kept(rest.where(F.col("share") < STAY).join(measured_ids(kept(open_)), "band", "left_semi").select("band", "node"))
         if members.isEmpty():
             break
     return components(edges)
@@ -286,8 +286,12 @@ def _verify(percent: int, miss: float):
 
 def _links(texts: DataFrame, places: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     """The links found by the comparisons that places (node, and where its set goes) describe."""
-    sent = places.groupBy("node").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
-    spread = texts.join(measured(kept(sent), "28 * size(places)"), F.col("doc_id") == F.col("node")).mapInArrow(_spread(words), _MEMBER)
+    sent = kept(places.groupBy("node").agg(F.collect_list(F.struct(*_PLACE)).alias("places")))
+    size = "8 + 56 * size(places)"
+    if small_ids(sent.select("node")) and not small_ids(sent, size):
+        # Few members that go to many places: only their texts are shuffled.
+        texts = texts.join(F.broadcast(sent.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    spread = texts.join(measured_ids(sent, size), F.col("doc_id") == F.col("node")).mapInArrow(_spread(words), _MEMBER)
     return kept(spread.groupBy("family", "block", "chunk").applyInArrow(_verify(percent, miss), _LINK))
 
 
@@ -295,7 +299,7 @@ def _family_links(texts: DataFrame, grouped: DataFrame, words: int, percent: int
     """Links (a, b) that connect what is linked in each family of grouped (node, family)."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sizes = kept(grouped.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    placed = kept(grouped.join(measured(sizes), "family").withColumn("block", block))
+    placed = kept(grouped.join(measured_ids(sizes), "family").withColumn("block", block))
 
     def place(rows: DataFrame, chunk: F.Column, side: int, part: F.Column) -> DataFrame:
         return rows.select("node", "family", "block", chunk.cast("int").alias("chunk"), F.lit(side).alias("side"), part.cast("long").alias("part"))
@@ -309,10 +313,10 @@ def _family_links(texts: DataFrame, grouped: DataFrame, words: int, percent: int
     if wide.isEmpty():
         return first
     # Members outside the family's largest part, with all blocks but their own.
-    parts = kept(wide.join(measured(kept(components(first))), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+    parts = kept(wide.join(measured_ids(kept(components(first))), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
     counts = parts.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = kept(counts.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0"))
-    marked = kept(parts.join(measured(largest), "family").withColumn("chunks", F.ceil(F.col("left") / BLOCK).cast("int")))
+    marked = kept(parts.join(measured_ids(largest), "family").withColumn("chunks", F.ceil(F.col("left") / BLOCK).cast("int")))
     open_ = marked.where("part <> main").withColumns({"home": F.col("block"), "chunk": F.pmod(F.xxhash64(F.lit(5), "node"), F.col("chunks"))})
     asking = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
     asked = marked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -338,11 +342,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     heads = families.select(F.col("component").alias("node"), "component").distinct()
     grouped = kept(families.unionByName(heads).withColumnRenamed("component", "family"))
     links = _family_links(texts, grouped, words, percent, miss)
-    classes = kept(signed.select("doc_id", "n_shingles", "s1", "s2").join(measured(nodes.select("s1", "s2", "node")), ["s1", "s2"], "left"))
+    classes = kept(signed.select("doc_id", "n_shingles", "s1", "s2").join(measured_ids(nodes.select("s1", "s2", "node")), ["s1", "s2"], "left"))
     # Rows of one doc_id with different texts: their classes belong together.
     torn = classes.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     torn = classes.join(torn, "doc_id").select("a", F.col("node").alias("b"))
     found = kept(components(links.unionByName(torn)))
-    out = classes.select("doc_id", "n_shingles", "node").join(measured(found), "node", "left")
+    out = classes.select("doc_id", "n_shingles", "node").join(measured_ids(found), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

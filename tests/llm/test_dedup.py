@@ -209,6 +209,30 @@ def test_sets_of_a_family_are_sent_about_once(spark, monkeypatch):
     assert sum(sent) <= 1200 + (blocks + 1) * neardup.REPRESENTATIVES
 
 
+def test_what_passes_through_the_driver_is_bounded(spark, monkeypatch):
+    """Sides beyond the bound are broadcast neither by hint nor by Spark's own estimate of their files."""
+    monkeypatch.setattr(common, "IDS_ROWS", 10, raising=False)
+    sent, hint = [], common.F.broadcast
+    monkeypatch.setattr(common.F, "broadcast", lambda df: sent.append(df.count()) or hint(df))
+    r = random.Random(6)
+    rows = list(enumerate(t for _ in range(30) for t in family(r, 3, 2)))
+    found = neardup.near_duplicates(documents(spark, rows).repartition(4), 3, 85)
+    assert sorted(map(tuple, found.collect())) == components_by_hand(rows, 3, 85)
+    assert sent and max(sent) <= 10
+    assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+
+
+def test_few_texts_with_many_places_are_shuffled_alone(spark, monkeypatch):
+    monkeypatch.setattr(common, "IDS_BYTES", 32 * 90, raising=False)
+    sent, hint = [], common.F.broadcast
+    monkeypatch.setattr(common.F, "broadcast", lambda df: sent.append(df.columns) or hint(df))
+    r = random.Random(7)
+    rows = list(enumerate([t for _ in range(30) for t in family(r, 3, 2)] + [f"only {k} here {k}" for k in range(40)]))
+    found = neardup.near_duplicates(documents(spark, rows).repartition(4), 3, 85)
+    assert sorted(map(tuple, found.collect())) == components_by_hand(rows, 3, 85)
+    assert ["doc_id"] in sent and ["node", "places"] not in sent
+
+
 def test_nothing_to_link(spark):
     assert neardup.near_duplicates(documents(spark, [(1, "x")]).where("false")).count() == 0
     assert sorted(tuple(r) for r in neardup.near_duplicates(documents(spark, [(1, None), (2, ""), (3, "only this text")])).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True)]
